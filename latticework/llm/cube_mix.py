@@ -19,6 +19,7 @@ gives an empty result.  Draws depend on content and the seed only, so reruns agr
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import random
 from collections.abc import Iterator
@@ -87,13 +88,25 @@ def _flight(pi: list[float], size: list[int], rng: random.Random) -> list[int]:
 
 def _land(pi: list[float], size: list[int], left: list[int]) -> None:
     """Decide the last undecided entries so that words, then documents, come nearest."""
-    words, count = sum(pi[k] * size[k] for k in left), sum(pi[k] for k in left)
+    words, count = sum(p * s for p, s in zip(pi, size)), sum(pi[k] for k in left)
+    fixed = words - sum(pi[k] * size[k] for k in left)
     best = min(
         itertools.product((0, 1), repeat=len(left)),
-        key=lambda t: (abs(sum(x * size[k] for x, k in zip(t, left)) - words), abs(sum(t) - count), t),
+        key=lambda t: (abs(sum(x * size[k] for x, k in zip(t, left)) + fixed - words), abs(sum(t) - count), t),
     )
     for k, x in zip(left, best):
         pi[k] = float(x)
+    for _ in range(4):  # exchange a taken for an untaken document while the word total comes nearer
+        rest = words - sum(p * s for p, s in zip(pi, size))
+        out = sorted((size[k], k) for k in range(len(pi)) if pi[k] == 0)
+        near = []
+        for k in (k for k in range(len(pi)) if pi[k] == 1):
+            at = bisect.bisect_left(out, (size[k] + rest, -1))
+            near += [(abs(rest - (s - size[k])), k, j) for s, j in out[max(0, at - 1) : at + 1]]
+        if not near or min(near)[0] >= abs(rest):
+            break
+        _, k, j = min(near)
+        pi[k], pi[j] = 0.0, 1.0
 
 
 def _mover(seed: int, level: int, last: bool):
@@ -113,9 +126,8 @@ def balanced(df: DataFrame, groups: dict[int, int], seed: int) -> DataFrame:
     done, level, buckets = [], 0, {g: max(1, -(-n // BUCKET)) for g, n in groups.items()}
     while True:
         last = all(n == 1 for n in buckets.values())
-        many = F.element_at(F.create_map(*[F.lit(x) for kv in buckets.items() for x in kv]), F.col("g")) if buckets else F.lit(1)
-        salted = df.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + level)), many.cast("long")))
-
+        many = df.sparkSession.createDataFrame(list(buckets.items()), "g int, buckets long")
+        salted = df.join(many, "g").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + level)), F.col("buckets")))
         moved = pin(salted.groupBy("g", "bucket").applyInPandas(_mover(seed, level, last), "g int, doc_id long, size long, pi double"))
         done.append(moved.where("pi in (0.0, 1.0)"))
         if last:

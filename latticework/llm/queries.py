@@ -10,6 +10,36 @@ from pyspark.sql import functions as F
 from ..session import share_code, table
 
 
+def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii_crf import find_personal_data
+
+    share_code(spark)
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op2_embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_cells import near_duplicates
+
+    share_code(spark)
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_cnn import learn, score_quality
+
+    share_code(spark)
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_crf import learn, predict_languages
+
+    share_code(spark)
+    docs = table(spark, sf_dir, "documents")
+    return predict_languages(docs, learn(docs))
+
+
 def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .cube_mix import mix_sources
 
@@ -24,6 +54,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op8_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .scaled_sketch import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_tree import encode_documents
 
@@ -39,6 +75,6 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_cube_mix, op7_substring_dedup, op9_bpe_tree, op10_chosen_path)
+    f.__name__: f for f in (op1_pii_crf, op2_embedding_cells, op3_quality_cnn, op5_language_crf, op6_cube_mix, op7_substring_dedup, op8_scaled_sketch, op9_bpe_tree, op10_chosen_path)
 }
 ORACLES: dict[str, str] = {}
