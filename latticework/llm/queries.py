@@ -32,6 +32,13 @@ def op3_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_eod_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .eod_scan import document_tokens
+
+    share_code(spark)
+    return document_tokens(table(spark, sf_dir, "documents"))
+
+
 def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lang_crf import learn, predict_languages
 
@@ -75,6 +82,6 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii_crf, op2_embedding_cells, op3_quality_cnn, op5_language_crf, op6_cube_mix, op7_substring_dedup, op8_scaled_sketch, op9_bpe_tree, op10_chosen_path)
+    f.__name__: f for f in (op1_pii_crf, op2_embedding_cells, op3_quality_cnn, op4_eod_scan, op5_language_crf, op6_cube_mix, op7_substring_dedup, op8_scaled_sketch, op9_bpe_tree, op10_chosen_path)
 }
 ORACLES: dict[str, str] = {}
