@@ -1,15 +1,62 @@
-"""A training-data pipeline over ``documents``."""
+"""A training-data pipeline over ``documents``: quality, near-duplicates, personal data, mixing, tokens.
+
+Each stage takes all rows that the one before kept, with the columns of
+``documents``; the last gives token digests.  Nulls, empty texts, repeated rows
+and extra columns follow the operators' docstrings: a null text is scored,
+deduplicated (it links with nothing), mixed with size 0 and encoded as empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from latticework.llm import bpe_tree, chosen_path, cube_mix, pii_crf, quality_cnn
+from latticework.llm.lineage import pin
+from latticework.session import share_code
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    share_code(spark)
+    return quality_cnn.keep_good(docs, quality_cnn.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, of smallest doc_id, of each group of near-duplicates; rows that repeat a doc_id give one."""
+    share_code(spark)
+    kept = chosen_path.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    found = docs.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    return found.union(docs.where("doc_id is null"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its personal data masked."""
+    share_code(spark)
+    return pii_crf.mask_personal_data(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    share_code(spark)
+    taken = cube_mix.mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("taken_id"), F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return docs.join(taken, F.col("doc_id").cast("long") == F.col("taken_id")).select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of ids and decoded text of each row."""
+    share_code(spark)
+    return bpe_tree.encode_documents(docs)
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("personal_data", personal_data), ("mixing", mixing), ("tokens", tokens)]
+ORACLE_SQL = None  # a learned classifier, a seeded draw and a tokenizer are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = pin(docs)
     return docs
