@@ -40,10 +40,12 @@ class Chunks:
     """Window starts and half-chunk blocks of several texts."""
 
     def __init__(self, column: pa.Array):
-        data, at = text_bytes(column)
-        self.n = len(at) - 1
-        self.data = np.concatenate([data, np.zeros(WIDTH, np.uint8)])
-        length = np.diff(at)
+        raw, ends = text_bytes(column)
+        self.n = len(ends) - 1
+        length = np.diff(ends)
+        at = ends + np.arange(self.n + 1) * WIDTH  # zeros behind each text, so no window sees the next one
+        self.data = np.zeros(len(raw) + (self.n + 1) * WIDTH, np.uint8)
+        self.data[np.arange(len(raw)) + np.repeat(np.arange(self.n) * WIDTH, length)] = raw
         count = (length + STRIDE - 1) // STRIDE
         before = np.cumsum(count) - count
         self.start = np.repeat(at[:-1] - before * STRIDE, count) + np.arange(int(count.sum())) * STRIDE

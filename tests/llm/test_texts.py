@@ -1,0 +1,247 @@
+"""Operators on single texts against brute force, round trips, libraries or held-out accuracy."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from latticework.llm import bpe_tree, cube_mix, eod_scan, lang_crf, pii_crf, quality_cnn
+from latticework.llm.textscan import Words
+from latticework.session import share_code, table
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, copies int"
+LONG = "word another thing " * 9000
+TEXTS = [None, "", " \n\t", "ok", "ok", "Ünïcode ß 日本語 😀 text", LONG, "mail a.b@c-d.org, now", "x@y", "10.0.0.1 and 256.1.1.1 1.2.3.4.5.6.7.8", "4111 1111 1111 1111 or 4111-1111-1111-1112", "call +1 (843) 555-7672 170.1.2.3", "+12 345", "a@b.c@d.e", "é" * 30 + " +49 30 12345678 é"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    share_code(spark)
+    rows = [(i, t, [None, "en", "fr"][i % 3], ["s1", None, "s2"][i % 3], len(t or ""), 0.0, "clash", 1) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def plain_spans(text):
+    """The base rules, by regular expressions alone."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m.group().split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m.group())
+        if 14 <= len(d) <= 19:
+            total = sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d)))
+            if total % 10 == 0:
+                out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= len(re.sub("[^0-9]", "", m.group())) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return [(s, pii_crf.KINDS[k], e) for s, k, e in sorted(out)]
+
+
+def test_base_spans_equal_plain_patterns():
+    rng = random.Random(8)
+    alphabet = "ab1234567890..--@@++ ()é\n%_"
+    texts = [t or "" for t in TEXTS] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(6000)]
+    for t in texts:
+        assert pii_crf.base_spans(t) == plain_spans(t), t
+
+
+def test_long_runs_take_linear_time():
+    for t in ("1" * 200_000, "a" * 200_000, "1." * 100_000, "+1" * 100_000, "@" * 100_000):
+        pii_crf.base_spans(t)
+
+
+def test_field_on_unseen_rows():
+    rows = pii_crf.labelled_table(300, seed=99)
+    model = pii_crf.default_model()
+    words = Words(pa.array([" ".join(w) for w, _ in rows]))
+    codes = pii_crf.shapes(words)
+    emit = sum(t[c] for t, c in zip(model[0], codes))
+    states = pii_crf.crf.viterbi(emit, model[1], model[2], pii_crf.crf.Layout(words.first[:-1], words.counts))
+    gold = np.array([pii_crf.STATES.index(s) for _, ss in rows for s in ss])
+    assert (states == gold).mean() > 0.98
+
+
+def test_viterbi_and_marginals_equal_enumeration():
+    rng = np.random.default_rng(2)
+    emit, move, begin = rng.normal(size=(9, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+    first, length = np.array([0, 4, 4]), np.array([4, 0, 5])
+    layout = pii_crf.crf.Layout(first, length)
+    states, post = pii_crf.crf.viterbi(emit, move, begin, layout), pii_crf.crf.marginals(emit, move, begin, layout)
+    for f, n in ((0, 4), (4, 5)):
+        scores = {}
+        for path in np.ndindex(*[3] * n):
+            scores[path] = begin[path[0]] + sum(emit[f + t, s] for t, s in enumerate(path)) + sum(move[a, b] for a, b in zip(path, path[1:]))
+        best = max(scores, key=scores.get)
+        assert tuple(states[f : f + n]) == best
+        weight = {p: np.exp(s) for p, s in scores.items()}
+        for t in range(n):
+            want = np.array([sum(w for p, w in weight.items() if p[t] == k) for k in range(3)]) / sum(weight.values())
+            assert np.allclose(post[f + t], want)
+
+
+def test_personal_data_rows(docs, nothing):
+    got = {r.doc_id: r for r in pii_crf.find_personal_data(docs).collect()}
+    for i, t in enumerate(TEXTS):
+        base = plain_spans(t or "")
+        n = Counter(k for _, k, _ in base)
+        assert [got[i][f"n_{k}"] for k in pii_crf.KINDS] == [n[k] for k in pii_crf.KINDS]
+        assert got[i].base_sha256 == hashlib.sha256(pii_crf.written(base).encode()).hexdigest()
+        assert set(pii_crf.written(base).split(",")) <= set(got[i].spans.split(",")) | {""}
+    assert got[6].spans == "" and got[4].spans == ""
+    assert "phone:5:22" in got[11].spans  # the pattern runs into the address behind it
+    assert pii_crf.find_personal_data(nothing).count() == 0
+
+
+def test_masking_keeps_rows_and_columns(docs):
+    out = {r.doc_id: r for r in pii_crf.mask_personal_data(docs).collect()}
+    assert out[7].text == "mail [email], now" and out[7].n_chars == len(out[7].text) and out[0].text is None
+    assert pii_crf.mask_personal_data(docs).columns == docs.columns and len(out) == len(TEXTS)
+
+
+def test_bpe_equals_the_library(docs, nothing):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe_tree.vocabulary())
+    library.no_padding()
+    library.no_truncation()
+    rng = random.Random(5)
+    texts = [t or "" for t in TEXTS] + ["don't I'LL we've", "a<|endoftext|>b<|startoftext|>", "ΣΑΣ İ ﬁ ½ ²³", "\x00\x1c\x85\xa0​", "y" * 3000]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x700), rng.randrange(0x3040, 0x9000), rng.randrange(0x1F300, 0x1F700)])) for _ in range(40)) for _ in range(300)]
+    encoder = bpe_tree.PairTreeBPE(bpe_tree.vocabulary())
+    for t, (ids, decoded) in zip(texts, encoder.encode(texts)):
+        want = library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ids, np.uint32).tolist() == want, t
+        assert decoded == library.decode(want, skip_special_tokens=False) == encoder.decode(want)
+    got = {r.doc_id: r for r in bpe_tree.encode_documents(docs, keep=True).collect()}
+    for i, t in enumerate(TEXTS):
+        want = library.encode(t or "", add_special_tokens=False).ids
+        assert got[i].n_tokens == len(want) and got[i].ids == want
+        assert got[i].ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
+    assert bpe_tree.encode_documents(nothing).count() == 0
+
+
+@pytest.mark.parametrize("block", [64, 1 << 19])
+def test_separators_equal_plain_counts(spark, docs, block):
+    tok = eod_scan.tokenizer(eod_scan.vocabulary())
+    streams = eod_scan.token_blocks(docs, block=block).cache()
+    counted = eod_scan.count_tokens(streams).collect()
+    by = {}
+    for r in counted:
+        by.setdefault(r.file, {})[r.ordinal] = r.n_tokens
+    listed = {}
+    for r in sorted(streams.collect(), key=lambda r: (r.file, r.block)):
+        listed.setdefault(r.file, []).extend(r.ends)
+    assert sum(map(len, listed.values())) == len(TEXTS)
+    for file, ids in listed.items():
+        assert by[file] == {k: len(tok.encode_ordinary(TEXTS[i] or "")) for k, i in enumerate(ids)}
+
+
+def test_flat_files(spark, tmp_path):
+    share_code(spark)
+    rng = np.random.default_rng(1)
+    want = {}
+    for name, tail in (("a.bin", []), ("b.bin", [5, 6, 7]), ("empty.bin", None), ("none.bin", [3] * 50)):
+        docs = [] if tail is None or name == "none.bin" else [rng.integers(0, 9, rng.integers(0, 40)).tolist() for _ in range(30)]
+        flat = [x for d in docs for x in [*d, 77]] + (tail or [])
+        (tmp_path / name).write_bytes(np.array(flat, "<u4").tobytes())
+        want[name] = [len(d) for d in docs] + ([len(tail)] if tail else [])
+    for block in (8, 40, 1 << 16):
+        rows = eod_scan.count_tokens(eod_scan.read_blocks(spark, str(tmp_path), block), eod=77, width=4).collect()
+        for name, sizes in want.items():
+            assert [r.n_tokens for r in sorted(rows, key=lambda r: r.ordinal) if r.file.endswith("/" + name)] == sizes
+
+
+def test_document_tokens(docs, nothing):
+    assert sorted(r.doc_id for r in eod_scan.document_tokens(docs).collect()) == list(range(len(TEXTS)))
+    assert eod_scan.document_tokens(nothing).count() == 0
+
+
+def test_mix_takes_its_targets(spark, docs, nothing):
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.randrange(1, 300) if i % 50 else None, "", None if i % 7 == 0 else f"s{i % 3}" if i % 2 else "big", 0, 0.0, "", 1) for i in range(6000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = cube_mix.mix_sources(df).collect()
+    size = {i: len((t or "").split()) for i, t, *_ in rows}
+    assert sorted(r.doc_id for r in out) == list(range(6000)) and all(r.size == size[r.doc_id] for r in out)
+    sources = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[i] for i, _, _, x, *_ in rows if x == s) for s in sources}
+    targets = dict(zip(sources, cube_mix.share_out([total[s] for s in sources])))
+    assert abs(sum(targets.values()) - 1.5 * sum(total.values())) < 1e-6
+    for s in sources:
+        mine = [r for r in out if r.source == s]
+        assert all(abs(r.target - targets[s]) < 1e-6 and r.source_size == total[s] for r in mine)
+        assert abs(sum(r.taken for r in mine) - targets[s]) <= max(2, 0.002 * targets[s])
+    assert all(r.taken in (0, r.size, 2 * r.size) for r in out)
+    assert sorted(map(tuple, cube_mix.mix_sources(df.repartition(7)).collect())) == sorted(map(tuple, out))
+    assert cube_mix.mix_sources(docs).count() == len(TEXTS) and cube_mix.mix_sources(nothing).count() == 0
+
+
+def test_shares():
+    assert cube_mix.share_out([100, 100, 100]) == [200.0, pytest.approx(250 / 3), pytest.approx(500 / 3)]
+    assert cube_mix.share_out([]) == [] and cube_mix.share_out([0, 0]) == [0.0, 0.0]
+
+
+def test_flight_keeps_both_totals():
+    rng = random.Random(6)
+    size = sorted((rng.randrange(1, 500) for _ in range(400)), reverse=True)
+    pi = [0.37] * 400
+    left = cube_mix._flight(pi, size, rng)
+    assert len(left) <= 2 and all(p in (0.0, 1.0) for k, p in enumerate(pi) if k not in left)
+    assert abs(sum(pi) - 148) < 1e-6 and abs(sum(p * s for p, s in zip(pi, size)) - 0.37 * sum(size)) < 1e-4
+
+
+def test_quality_on_held_out_documents(spark, data_dir, docs, nothing):
+    big = data_dir.replace("sf0.001", "sf0.01")
+    documents, labels = table(spark, big, "documents"), table(spark, big, "labels")
+    net = quality_cnn.learn(documents, labels)
+    rows = quality_cnn.score_quality(documents, net).join(labels, "doc_id").where("held_out").collect()
+    assert len(rows) > 40 and np.mean([r.predicted == r.quality for r in rows]) > 0.93
+    assert all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) == r.held_out for r in quality_cnn.score_quality(documents, net).collect())
+    out = {r.doc_id: r for r in quality_cnn.score_quality(docs, net).collect()}
+    assert len(out) == len(TEXTS) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out.values())
+    assert out[3].score == out[4].score
+    assert quality_cnn.score_quality(nothing, quality_cnn.learn(nothing, labels.limit(0))).count() == 0
+    kept = quality_cnn.keep_good(docs, net)
+    assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in out.values())
+
+
+def test_scores_do_not_depend_on_neighbours():
+    net = quality_cnn.Network()
+    texts = ["a", "some words", "zzz", "", "x" * 400]
+    alone = [float(net.score(pa.array([t]))[0]) for t in texts]
+    for order in ([0, 1, 2, 3, 4], [4, 2, 0, 1, 3], [3, 3, 1, 4, 0]):
+        got = net.score(pa.array([texts[k] for k in order]))
+        assert np.allclose(got, [alone[k] for k in order], atol=1e-6)
+
+
+def test_languages_on_held_out_documents(spark, data_dir, docs, nothing):
+    documents = table(spark, data_dir.replace("sf0.001", "sf0.01"), "documents")
+    model = lang_crf.learn(documents)
+    rows = lang_crf.predict_languages(documents, model).join(documents.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
+    assert len(rows) > 100 and np.mean([r.lang_pred == r.lang for r in rows]) > 0.97
+    out = {r.doc_id: r for r in lang_crf.predict_languages(docs, model).collect()}
+    assert [out[k].lang_pred for k in (0, 1, 2)] == ["und"] * 3 and out[9].lang_pred != "und"
+    assert all(0 <= r.score <= 1 and (r.lang_pred in model.names or r.lang_pred == "und") for r in out.values())
+    assert all((zlib.crc32(str(i).encode()) % 4 == 2) == r.held_out for i, r in out.items())
+    assert lang_crf.predict_languages(nothing, lang_crf.learn(nothing)).count() == 0
+
+
+def test_switched_words(spark, data_dir):
+    model = lang_crf.learn(table(spark, data_dir.replace("sf0.001", "sf0.01"), "documents"))
+    words, post = model.words(["thing the and of with that nicht und die der schung keit"])
+    best = [model.names[k] for k in post.argmax(1)]
+    assert best[:4] == ["en"] * 4 and best[-3:] == ["de"] * 3
