@@ -107,7 +107,7 @@ def weights(size: int, line: bool, back: bool) -> str:
 
 def multiply(name: str, value: str, size: int, line: bool, back: bool, clip: bool) -> str:
     total = f"sum(t.{value} * w.w)::BIGINT"
-    return f"SELECT frame_idx, plane, tu_y, tu_x, w.o AS layer, {c16(total) if clip else total} AS c FROM {name} t JOIN ({weights(size, line, back)}) w ON w.j = t.k GROUP BY 1, 2, 3, 4, 5"
+    return f"SELECT frame_idx, plane, tu_y, tu_x, w.o::BIGINT AS layer, {c16(total) if clip else total} AS c FROM {name} t JOIN ({weights(size, line, back)}) w ON w.j = t.k GROUP BY 1, 2, 3, 4, 5"
 
 
 def step_rows(steps: list[int], matrix: tuple[int, ...], inter: str = "plane_step") -> str:
@@ -315,13 +315,13 @@ _MATRIX = qz.DEFAULT_MATRIX[4, False, 0]
 _STEP_COLUMNS = ["step", "signal", "layer", "matrix", "plane_step", "step_width", "deadzone", "step_offset"]
 
 
-@query(f"WITH {step_rows(_STEPS, _MATRIX)} SELECT {', '.join(_STEP_COLUMNS)} FROM dq")
+@query(f"WITH {step_rows(_STEPS, _MATRIX)} SELECT {', '.join(f'{c}::BIGINT AS {c}' for c in _STEP_COLUMNS)} FROM dq")
 def dequant_table(spark, d):
     rows = qz.matrix_rows(spark, _STEPS, _MATRIX)
     return qz.step_table(rows, False, True, False).withColumnRenamed("offset", "step_offset").select(*_STEP_COLUMNS)
 
 
-@query(f"WITH {step_rows(_STEPS, _MATRIX, lim('((65536 - least(48 * 257, 32768)) * plane_step) >> 16', 1, 32767))} SELECT {', '.join(_STEP_COLUMNS)} FROM dq")
+@query(f"WITH {step_rows(_STEPS, _MATRIX, lim('((65536 - least(48 * 257, 32768)) * plane_step) >> 16', 1, 32767))} SELECT {', '.join(f'{c}::BIGINT AS {c}' for c in _STEP_COLUMNS)} FROM dq")
 def dequant_table_temporal(spark, d):
     rows = qz.matrix_rows(spark, _STEPS, _MATRIX)
     return qz.step_table(rows, True, True, False).withColumnRenamed("offset", "step_offset").select(*_STEP_COLUMNS)
