@@ -18,6 +18,7 @@ from ..functions.fixedpoint import to_internal, to_sample
 from ..functions.prefix import coefficient_chunk, read_coefficients
 from ..functions.quantizers import DEFAULT_MATRIX, choose_level, dequantize, quantize, table_for
 from ..functions.transforms import DENOMINATOR, columns, inverse, names
+from ..operators.base import BaseCodec, RawBase
 from ..operators.blocks import TU, gather, long_form, scatter, transform
 from ..operators.runs import coefficient_runs, expand_runs
 from ..operators.stencil import KERNELS, add, downscale, residual, upscale
@@ -98,11 +99,12 @@ def _trim(blocks: DataFrame, prefix: str, size: int) -> DataFrame:
     return blocks.select(*TU, *names(prefix, size))
 
 
-def encode(samples: DataFrame, cfg: StreamConfig, step_low: int, step_top: int, rdoq: bool = True) -> Coded:
+def encode(samples: DataFrame, cfg: StreamConfig, step_low: int, step_top: int, rdoq: bool = True, base_codec: BaseCodec | None = None) -> Coded:
     """Base, levels and decoded picture of mono or planar frames (one geometry for all planes given)."""
     table = tables(cfg, step_low, step_top)
     size, k = cfg.block, kernel(cfg)
     one, base = pyramid(samples, cfg)
+    base = (base_codec or RawBase()).frames(base, cfg.depth)
     guess = upscale(_internal(base, cfg.depth), cfg.scaling_low, k, cfg.average)
     low = code_blocks(gather(residual(_internal(one, cfg.depth), guess), size), size, cfg.scaling_low == "1d", table[1], rdoq)
     level1 = add(guess, scatter(low, size, "i"))

@@ -380,14 +380,9 @@ def rdoq_exact(spark, d):
     return bl.long_form(_chosen(spark, d), "q", 4, "q")
 
 
-_FILTER = {0: 12, 5: 12, 10: 12, 15: 12, 1: 14, 4: 14, 7: 14, 13: 14, 2: 14, 8: 14, 11: 14, 14: 14}
-
-
 @query(f"WITH {_RESIDUAL}, tus AS ({tu('res', 4)}) SELECT {_KEY}, k AS layer, CASE WHEN k IN (0, 5, 10, 15) THEN (r * 12) >> 4 WHEN k IN (1, 4, 7, 13, 2, 8, 11, 14) THEN (r * 14) >> 4 ELSE r END AS v FROM tus")
 def l1_filter(spark, d):
-    made = bl.gather(_residual(spark, d), 4)
-    cells = [(fp.sat16(fp.shr(F.col(f"r{k}") * _FILTER[k], 4)) if k in _FILTER else F.col(f"r{k}")).alias(f"f{k}") for k in range(16)]
-    return bl.long_form(made.select(*bl.TU, *cells), "f", 4, "v")
+    return bl.long_form(bl.soften(bl.gather(_residual(spark, d), 4), 4, 2), "f", 4, "v")
 
 
 @query(f"WITH {_RESIDUAL}, tus AS ({tu('res', 4)}), co AS ({multiply('tus', 'r', 4, False, False, False)}) SELECT frame_idx, plane, layer, sum(c * c)::BIGINT AS square_sum, sum(c * c)::BIGINT / 256.0::DOUBLE AS energy FROM co GROUP BY 1, 2, 3")

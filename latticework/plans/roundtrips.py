@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from ..functions import framing, prefix
 from ..functions.payload import NO_CHUNK, Chunk, read_plain, write_plain
 from ..operators import metrics, runs
+from ..operators.base import UniformBase
 from ..session import table
 from ..sources.adapters import embedding_frames, event_frames, text_bytes, user_values
-from . import codec
+from . import closed_loop, codec
 from .config import StreamConfig, read_global
-from .queries import query
+from .queries import EV, query
 
 CODEC = StreamConfig(8, 8, chroma="mono", block=2, scaling_low="0d", scaling_top="2d", average=False)
 STEPS = (300, 500)
@@ -152,6 +153,35 @@ def encode_decode_4x4(spark: SparkSession, d: str) -> DataFrame:
     return quality.join(same, "frame_idx")
 
 
+def _streams(spark: SparkSession, d: str) -> DataFrame:
+    """Event frames dealt out to four streams, a plane a row."""
+    rows = event_frames(spark, d).groupBy("frame_idx").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("s"))
+    side = F.lit(16).cast("bigint")
+    return rows.select((F.col("frame_idx") % 4).alias("stream"), "frame_idx", side.alias("height"), side.alias("width"), F.transform("s", lambda s: s["v"].cast("int")).alias("data"))
+
+
+@query()
+def closed_loop_rate(spark: SparkSession, d: str) -> DataFrame:
+    """Rate control, adaptive matrices and frame drop along each stream."""
+    cfg = StreamConfig(16, 16, base_depth=10, depth=10, chroma="mono", block=4)
+    return closed_loop.code_streams(_streams(spark, d), "stream", cfg, closed_loop.Control(target_bytes=160))
+
+
+@query()
+def closed_loop_temporal(spark: SparkSession, d: str) -> DataFrame:
+    """Temporal prediction with refresh frames along each stream, over a lossy base."""
+    cfg = StreamConfig(16, 16, base_depth=10, depth=10, chroma="mono", block=2, temporal=True)
+    return closed_loop.code_streams(_streams(spark, d), "stream", cfg, closed_loop.Control(refresh_every=8), UniformBase(8))
+
+
+@query(f"WITH {EV}, b AS (SELECT frame_idx, plane, y, x, CASE WHEN (frame_idx + y + x) % 97 = 0 THEN v + 1 ELSE v END AS w FROM ev) SELECT ev.frame_idx, max(abs(v - w)) AS max_diff, count(*) AS samples FROM ev JOIN b ON ev.frame_idx = b.frame_idx AND ev.y = b.y AND ev.x = b.x GROUP BY 1")
+def verify_streams(spark: SparkSession, d: str) -> DataFrame:
+    """Two streams zipped by frame and place: the largest difference of each frame."""
+    a = event_frames(spark, d)
+    changed = F.when((F.col("frame_idx") + F.col("y") + F.col("x")) % 97 == 0, F.col("v") + 1).otherwise(F.col("v"))
+    return metrics.squared_error(metrics.paired(a, a.withColumn("v", changed)), ["frame_idx"]).select("frame_idx", "max_diff", F.col("n").alias("samples"))
+
+
 @query()
 def payload_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Pictures of coded frames: flags and chunks framed as units, read back, chunks compared."""

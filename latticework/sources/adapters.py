@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +53,16 @@ def user_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte values of document texts with their counts by document: (doc_id, byte, n)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.hex(F.encode("text", "UTF-8")).alias("h"))
-    pairs = F.expr("transform(sequence(0, greatest(length(h) div 2 - 1, 0)), i -> substring(h, 2 * i + 1, 2))")
-    each = docs.where("length(h) > 0").select("doc_id", F.explode(pairs).alias("p"))
-    return each.groupBy("doc_id", "p").agg(F.count("*").alias("n")).select("doc_id", F.conv("p", 16, 10).cast("bigint").alias("byte"), "n")
+    """Byte values of document texts with their counts by document: (doc_id, byte, n).
+
+    Bytes are counted inside each Arrow batch, so no row is made of a single byte.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = batch.column("doc_id").to_pylist(), [np.bincount(np.frombuffer((t or "").encode(), np.uint8), minlength=256) for t in batch.column("text").to_pylist()]
+            row, byte = np.nonzero(np.array(found).reshape(-1, 256))
+            counts = np.array([found[r][b] for r, b in zip(row, byte)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in row], pa.int64()), pa.array(byte.astype(np.int64)), pa.array(counts)], names=["doc_id", "byte", "n"])
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id bigint, byte bigint, n bigint")

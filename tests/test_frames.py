@@ -123,3 +123,85 @@ def test_units_of_streams(spark):
     assert parts.count() == 4
     aus = sorted((r.au, r.start, r.length) for r in annexb.access_units(parts).collect())
     assert len(aus) == 2 and aus[0][1] == 0 and sum(a[2] for a in aus) == len(one)
+
+
+def planes_of(spark, count=6, side=32, streams=("a", "b")):
+    rows = []
+    for s, name in enumerate(streams):
+        for k in range(count):
+            data = [int((x * x + 7 * y * x + 9 * k * (1 + s)) % 200) if (x // 8 + y // 8 + s) % 2 else 60 + x + k for y in range(side) for x in range(side)]
+            rows.append((name, k, side, side, data))
+    return rows, spark.createDataFrame(rows, "stream string, frame_idx long, height long, width long, data array<int>")
+
+
+@pytest.mark.parametrize("block,low,top,average", [(2, "0d", "2d", True), (4, "2d", "2d", True), (4, "1d", "1d", False)])
+def test_numpy_path_equals_expressions(spark, block, low, top, average):
+    import numpy as np
+
+    from latticework.operators.base import UniformBase
+    from latticework.plans import closed_loop
+
+    cfg = StreamConfig(32, 32, chroma="mono", block=block, upsampler="cubic", scaling_low=low, scaling_top=top, average=average)
+    rows, _ = planes_of(spark, 2, streams=("a",))
+    src = spark.createDataFrame([(r[1], 0, i // 32, i % 32, v) for r in rows for i, v in enumerate(r[4])], "frame_idx long, plane long, y long, x long, v long")
+    coded = codec.encode(src, cfg, 400, 200)
+    want = {}
+    for r in coded.output.collect():
+        want.setdefault(r.frame_idx, np.zeros((32, 32), int))[r.y, r.x] = r.v
+    control_ = closed_loop.Control(step_low=400, step_top=200, adapt=False, drop=False)
+    for r in rows:
+        state = closed_loop.State(400, 200)
+        _, out = closed_loop.code_frame(np.array(r[4]).reshape(32, 32), r[1], state, cfg, control_, closed_loop.RawBase())
+        assert (out == want[r[1]]).all()
+    rough = UniformBase(16)
+    frames = rough.frames(src, 8).collect()
+    assert all(r.v == int(rough.plane(np.array([rows[r.frame_idx][4][r.y * 32 + r.x]]), 8)[0]) for r in frames)
+
+
+def test_rate_follows_its_target(spark):
+    from latticework.plans import closed_loop
+
+    share_code(spark)
+    cfg = StreamConfig(32, 32, chroma="mono", block=4, average=True)
+    _, df = planes_of(spark, 24)
+    rows = closed_loop.code_streams(df, "stream", cfg, closed_loop.Control(target_bytes=400, drop=False)).collect()
+    assert len(rows) == 48
+    late = [r.bytes for r in rows if r.frame_idx >= 12]
+    assert abs(sum(late) / len(late) - 400) < 80
+    assert len({r.step_top for r in rows}) > 1
+
+
+def test_temporal_prediction_saves_bytes(spark):
+    from latticework.plans import closed_loop
+
+    share_code(spark)
+    still = [("a", k, 32, 32, [int((x * 5 + y * y) % 180) for y in range(32) for x in range(32)]) for k in range(5)]
+    df = spark.createDataFrame(still, "stream string, frame_idx long, height long, width long, data array<int>")
+    size = {}
+    for temporal in (False, True):
+        cfg = StreamConfig(32, 32, chroma="mono", block=2, temporal=temporal)
+        rows = closed_loop.code_streams(df, "stream", cfg, closed_loop.Control(adapt=False)).collect()
+        size[temporal] = sum(r.bytes for r in rows)
+        assert any(r.inter_blocks for r in rows) == temporal and all(r.sse <= r.base_only_sse for r in rows)
+    assert size[True] < size[False]
+
+
+def test_useless_frames_are_dropped(spark):
+    from latticework.plans import closed_loop
+
+    share_code(spark)
+    flat = [("a", k, 32, 32, [100] * 1024) for k in range(3)]
+    df = spark.createDataFrame(flat, "stream string, frame_idx long, height long, width long, data array<int>")
+    rows = closed_loop.code_streams(df, "stream", StreamConfig(32, 32, chroma="mono"), closed_loop.Control()).collect()
+    assert all(r.dropped and r.sse == r.base_only_sse for r in rows)
+
+
+def test_chunks_of_layers_read_back():
+    import numpy as np
+
+    from latticework.plans import closed_loop
+
+    rng = np.random.default_rng(4)
+    levels = np.where(rng.random((200, 16)) < 0.1, rng.integers(-9, 9, (200, 16)), 0)
+    levels[:, 3] = 0
+    assert (closed_loop.unpack(closed_loop.pack(levels), 200) == levels).all()
