@@ -8,6 +8,10 @@ are compared exhaustively when small and branched by further tokens when large.
 With 20 independent trees of depth two, a pair at similarity 0.75 misses all
 nodes with probability (1 - 0.75**2)**20 < 7e-8.
 
+In crowded nodes a set with too many tokens that no other member has cannot be
+linked at all, and leaves out; the leaves of the others are compared in blocks
+that give only the links which join components, never pairs.
+
 All links are confirmed on full sets, so none is false.  Members of one
 component need no further links among each other, which keeps a group of
 thousands of copies linear in its size without dropping any of its links
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -37,6 +41,7 @@ SHINGLE = 5
 TREES = 20
 T = 2 * TREES
 SMALL = 48
+BLOCK = 256
 DEEPEST = 8
 #: Fewest equal minwise tokens of T for an exact comparison; a pair at 0.75 has fewer with probability below 1e-7.
 LEAST_EQUAL = 14
@@ -140,12 +145,81 @@ def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.join(ids, "id").dropDuplicates(["id"])
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, tokens: DataFrame, threshold: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets reach ``threshold`` per cent."""
-    side = lambda c: tokens.select(F.col("rep").alias(c), F.col("tokens").alias(f"{c}_tokens"))
-    near = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    equal = F.aggregate(F.zip_with("a_tokens", "b_tokens", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    near = pin(near.where(equal >= LEAST_EQUAL).select("a", "b"))
+def _own_tokens(sets: DataFrame) -> DataFrame:
+    """(rep, own): how many tokens of each set of the crowd no other set of it has."""
+    single = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    own = single.groupBy("id").agg(F.count("*").alias("own"))
+    return sets.select("id").join(own, "id", "left").select(F.col("id").alias("rep"), F.coalesce("own", F.lit(0)).alias("own"))
+
+
+def common_tokens(sets: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
+    """How many tokens each two of the sets share."""
+    out = np.zeros((len(sets), len(sets)))
+    token, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = np.flatnonzero(np.bincount(at) > 1)
+    place = np.full(len(token), -1)
+    place[shared] = np.arange(len(shared))
+    row, col = row[place[at] >= 0], place[at][place[at] >= 0]
+    for k in range(0, len(shared), width):
+        cut = (col >= k) & (col < k + width)
+        have = np.zeros((len(sets), width), np.float32)
+        have[row[cut], col[cut] - k] = 1
+        out += have @ have.T
+    np.fill_diagonal(out, [len(x) for x in sets])
+    return out.astype(np.int64)
+
+
+def _linking(threshold: int):
+    def compare(members):
+        """Links that join different components of a block of a node; as few as join them all."""
+        members = members.drop_duplicates("rep").sort_values("rep", ignore_index=True)
+        size = members["size"].to_numpy()
+        common = common_tokens([np.asarray(x, np.int64) for x in members["items"]])
+        linked = 100 * common >= threshold * (size[:, None] + size[None, :] - common)
+        rep, up, out = members["rep"].tolist(), {c: c for c in members["component"]}, []
+        part = members["component"].tolist()
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in zip(*np.nonzero(np.triu(linked, 1))):
+            x, y = find(part[a]), find(part[b])
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((rep[a], rep[b]))
+        return type(members)(out, columns=["a", "b"])
+
+    return compare
+
+
+def _links_in_leaves(leaves: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links between components inside crowded nodes' leaves (tree, node, rep, component, size).
+
+    A leaf is compared in blocks of at most about ``BLOCK`` by ``BLOCK``, each a
+    group of its own, so a leaf of any size is spread; only links come out.
+    """
+    many = leaves.groupBy("tree", "node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    mine = F.pmod(F.xxhash64("rep", F.lit(9)), F.col("parts")).cast("int")
+    salted = leaves.join(many, ["tree", "node"]).withColumn("mine", mine)
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    spread = salted.select("tree", "node", "rep", "component", "size", "mine", other.alias("o"))
+    spread = spread.select("tree", "node", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "rep", "component", "size")
+    held = spread.join(sets.withColumnRenamed("id", "rep"), "rep")
+    return held.groupBy("tree", "node", "i", "j").applyInPandas(_linking(threshold), "a long, b long")
+
+
+def _alike(x: str, y: str) -> Column:
+    """Whether enough minwise tokens are equal for an exact comparison."""
+    equal = F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, e: s + e)
+    return equal >= LEAST_EQUAL
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """Those of the distinct ``pairs`` (a, b) whose full sets reach ``threshold`` per cent."""
+    near = pin(pairs)
     ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
     sets = pin(_full_sets(docs, ids))
     both = near.join(sets.withColumnsRenamed({"id": "a", "items": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "items": "y"}), "b")
@@ -160,40 +234,53 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     classes = ["n_shingles", "s1", "s2"]
     reps = drawn.where("n_shingles > 0 and doc_id is not null").groupBy(*classes).agg(F.min("doc_id").alias("rep"))
     member = pin(drawn.join(reps, classes, "left"))
-    tokens = member.where("doc_id = rep").select("rep", "tokens").dropDuplicates(["rep"])
+    tokens = member.where("doc_id = rep").select("rep", "tokens", F.col("n_shingles").alias("size")).dropDuplicates(["rep"])
     tokens = pin(tokens)
 
     branch = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.get("tokens", 2 * t), F.get("tokens", 2 * t + 1)))
     placed = tokens.select("rep", F.posexplode(branch).alias("tree", "node"))
     sized = placed.groupBy("tree", "node").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
     nodes = pin(placed.join(sized, ["tree", "node"]))
-    links = _confirmed(docs, nodes.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")), tokens, threshold)
+    side = lambda c: tokens.select(F.col("rep").alias(c), F.col("tokens").alias(f"{c}_tokens"))
+    star = nodes.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    star = star.join(side("a"), "a").join(side("b"), "b").where(_alike("a_tokens", "b_tokens")).select("a", "b")
+    links = _confirmed(docs, star, threshold)
     found = components(links)
 
     named = found.select(F.col("v").alias("rep"), "component")
     nodes = nodes.where("n > 2").join(named, "rep", "left").select("tree", "node", "pivot", "rep", F.coalesce("component", "rep").alias("component"))
-    depth, pairs = 2, []
-    while True:
-        split = nodes.groupBy("tree", "node").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        nodes = pin(nodes.join(split.select("tree", "node", "n"), ["tree", "node"]))
-        small = nodes if depth >= DEEPEST else nodes.where(F.col("n") <= SMALL)
-        right = small.select("tree", "node", F.col("rep").alias("b"), F.col("component").alias("other"))
-        left = small.select("tree", "node", "pivot", F.col("rep").alias("a"), "component")
-        pairs.append(left.join(right, ["tree", "node"]).where("a < b and component <> other and a <> pivot").select("a", "b"))
-        nodes = nodes.where(F.col("n") > SMALL)
-        if depth >= DEEPEST or nodes.isEmpty():
-            break
-        token = F.get("tokens", F.pmod(2 * F.col("tree") + depth, F.lit(T)))
-        nodes = pin(nodes.drop("n").join(tokens, "rep").select("tree", F.xxhash64("node", token).alias("node"), "pivot", "rep", "component"))
-        depth += 1
-    more = pairs[0]
-    for other in pairs[1:]:
-        more = more.union(other)
-    more = pin(more.distinct())
-    if not more.isEmpty():
-        extra = _confirmed(docs, more, tokens, threshold)
-        if not extra.isEmpty():
-            found = components(links.union(extra))
+    several = lambda: nodes.groupBy("tree", "node").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("tree", "node", "n")
+    nodes = pin(nodes.join(several(), ["tree", "node"]))
+    # Nodes of a few members: pairs of different components that look alike.
+    few = nodes.where(F.col("n") <= SMALL).join(tokens, "rep")
+    right = few.select("tree", "node", F.col("rep").alias("b"), F.col("component").alias("other"), F.col("size").alias("size_b"), F.col("tokens").alias("tokens_b"))
+    left = few.select("tree", "node", "pivot", F.col("rep").alias("a"), "component", "size", "tokens")
+    fits = (100 * F.least("size", "size_b") >= threshold * F.greatest("size", "size_b")) & _alike("tokens", "tokens_b")
+    extra = _confirmed(docs, left.join(right, ["tree", "node"]).where(F.expr("a < b and component <> other and a <> pivot") & fits).select("a", "b").distinct(), threshold)
+
+    # Crowded nodes: members that have too many tokens to themselves cannot be linked; the rest branch on.
+    nodes = nodes.where(F.col("n") > SMALL)
+    if not nodes.isEmpty():
+        sets = pin(_full_sets(docs, nodes.select(F.col("rep").alias("id")).distinct()))
+        known = tokens.join(_own_tokens(sets), "rep").where(100 * (F.col("size") - F.col("own")) >= threshold * F.col("size"))
+        nodes = nodes.select("tree", "node", "rep", "component").join(known.select("rep", "size", "tokens"), "rep")
+        depth, leaves = 2, []
+        while True:
+            nodes = pin(nodes.join(several(), ["tree", "node"]))
+            leaves.append(nodes if depth >= DEEPEST else nodes.where(F.col("n") <= SMALL))
+            nodes = nodes.where(F.col("n") > SMALL).drop("n")
+            if depth >= DEEPEST or nodes.isEmpty():
+                break
+            token = F.get("tokens", F.pmod(2 * F.col("tree") + depth, F.lit(T)))
+            nodes = nodes.withColumn("node", F.xxhash64("node", token))
+            depth += 1
+        ends = leaves[0]
+        for leaf in leaves[1:]:
+            ends = ends.union(leaf)
+        extra = extra.union(pin(_links_in_leaves(ends.select("tree", "node", "rep", "component", "size"), sets, threshold)))
+    extra = pin(extra.distinct())
+    if not extra.isEmpty():
+        found = components(links.union(extra))
     out = member.join(found.withColumnRenamed("v", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
