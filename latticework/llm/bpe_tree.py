@@ -33,10 +33,10 @@ from tokenizers import Regex, Tokenizer, pre_tokenizers
 from .textscan import slices
 
 NONE = np.int32(2**31 - 1)
-CELLS = 1 << 20
+CELLS = 1 << 19
 #: Here the library's letters follow an older Unicode version; its own splitter then cuts the words.
 NEWER = regex.compile("[\u0558-\u1fff\u208f-\u209f\ua7c0-\U0010ffff]")
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 
 
 def byte_symbols() -> list[str]:
