@@ -19,9 +19,10 @@ from ..functions.prefix import coefficient_chunk, read_coefficients
 from ..functions.quantizers import DEFAULT_MATRIX, choose_level, dequantize, quantize, table_for
 from ..functions.transforms import DENOMINATOR, columns, inverse, names
 from ..operators.base import BaseCodec, RawBase
-from ..operators.blocks import TU, gather, long_form, scatter, transform
+from ..operators import rows as rg
+from ..operators.blocks import TU, long_form, transform
 from ..operators.runs import coefficient_runs, expand_runs
-from ..operators.stencil import KERNELS, add, downscale, residual, upscale
+from ..operators.stencil import KERNELS, to_rows, to_samples
 from .config import StreamConfig
 
 CHUNK = ["frame_idx", "plane", "level", "layer"]
@@ -29,7 +30,7 @@ CHUNK = ["frame_idx", "plane", "level", "layer"]
 
 @dataclass
 class Coded:
-    """What coding a stream gives: base samples, levels of both levels, and the decoder's picture."""
+    """What coding a stream gives: base rows, levels of both levels, and the decoder's picture (samples)."""
 
     base: DataFrame
     low: DataFrame
@@ -41,14 +42,14 @@ def kernel(cfg: StreamConfig) -> tuple[int, ...]:
     return cfg.taps if cfg.upsampler == "adaptive" else KERNELS[cfg.upsampler]
 
 
-def pyramid(samples: DataFrame, cfg: StreamConfig) -> tuple[DataFrame, DataFrame]:
-    """Level 1 and base of full-size frames."""
-    one = downscale(samples, cfg.scaling_top, cfg.depth)
-    return one, downscale(one, cfg.scaling_low, cfg.depth)
+def pyramid(rows: DataFrame, cfg: StreamConfig) -> tuple[DataFrame, DataFrame]:
+    """Level 1 and base of full-size frames, at row grain."""
+    one = rg.downscale(rows, cfg.scaling_top, cfg.depth)
+    return one, rg.downscale(one, cfg.scaling_low, cfg.depth)
 
 
-def _internal(samples: DataFrame, depth: int) -> DataFrame:
-    return samples.withColumn("v", to_internal("v", depth))
+def _internal(rows: DataFrame, depth: int) -> DataFrame:
+    return rg.map_rows(rows, lambda v: to_internal(v, depth))
 
 
 def code_blocks(blocks: DataFrame, size: int, line: bool, table: list[tuple[int, int, int]], rdoq: bool = True, keep_only_better: bool = True) -> DataFrame:
@@ -100,18 +101,26 @@ def _trim(blocks: DataFrame, prefix: str, size: int) -> DataFrame:
 
 
 def encode(samples: DataFrame, cfg: StreamConfig, step_low: int, step_top: int, rdoq: bool = True, base_codec: BaseCodec | None = None) -> Coded:
-    """Base, levels and decoded picture of mono or planar frames (one geometry for all planes given)."""
+    """Base, levels and decoded picture of mono or planar frames (one geometry for all planes given).
+
+    Samples become rows once; from there on rows, lines of blocks and blocks move.
+    """
     table = tables(cfg, step_low, step_top)
     size, k = cfg.block, kernel(cfg)
-    one, base = pyramid(samples, cfg)
-    base = (base_codec or RawBase()).frames(base, cfg.depth)
-    guess = upscale(_internal(base, cfg.depth), cfg.scaling_low, k, cfg.average)
-    low = code_blocks(gather(residual(_internal(one, cfg.depth), guess), size), size, cfg.scaling_low == "1d", table[1], rdoq)
-    level1 = add(guess, scatter(low, size, "i"))
-    wide = upscale(level1, cfg.scaling_top, k, cfg.average)
-    top = code_blocks(gather(residual(_internal(samples, cfg.depth), wide), size), size, cfg.scaling_top == "1d", table[0], rdoq)
-    out = add(wide, scatter(top, size, "i")).withColumn("v", to_sample("v", cfg.depth))
-    return Coded(base, _trim(low, "q", size), _trim(top, "q", size), out)
+    full = to_rows(samples)
+    one, base = pyramid(full, cfg)
+    if base_codec is not None:
+        base = to_rows(base_codec.frames(to_samples(base), cfg.depth))
+    guess = rg.upscale(_internal(base, cfg.depth), cfg.scaling_low, k, cfg.average)
+    low = code_blocks(rg.gather(rg.residual(_internal(one, cfg.depth), guess), size), size, cfg.scaling_low == "1d", table[1], rdoq)
+    wide = rg.upscale(rg.add(guess, rg.scatter(low, size, "i")), cfg.scaling_top, k, cfg.average)
+    top = code_blocks(rg.gather(rg.residual(_internal(full, cfg.depth), wide), size), size, cfg.scaling_top == "1d", table[0], rdoq)
+    return Coded(base, _trim(low, "q", size), _trim(top, "q", size), _picture(wide, top, cfg))
+
+
+def _picture(prediction: DataFrame, blocks: DataFrame, cfg: StreamConfig) -> DataFrame:
+    out = rg.add(prediction, rg.scatter(blocks, cfg.block, "i"))
+    return to_samples(rg.map_rows(out, lambda v: to_sample(v, cfg.depth)))
 
 
 def chunks(coded: Coded, cfg: StreamConfig) -> DataFrame:
@@ -152,12 +161,18 @@ def levels_of(stream: DataFrame, cfg: StreamConfig, level: int) -> DataFrame:
     return placed.groupBy(*TU).agg(*cells)
 
 
+def _dense(levels: DataFrame, rows: DataFrame, cfg: StreamConfig) -> DataFrame:
+    """Every block of frames, with zeros where a stream had nothing."""
+    held = rg.block_places(rows, cfg.block).join(levels, TU, "left")
+    return held.select(*TU, *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in names("q", cfg.block)])
+
+
 def decode(base: DataFrame, stream: DataFrame, cfg: StreamConfig, step_low: int, step_top: int) -> DataFrame:
-    """Samples of the decoded picture from base samples and chunks."""
+    """Samples of the decoded picture from base rows and chunks."""
     table = tables(cfg, step_low, step_top)
     size, k = cfg.block, kernel(cfg)
-    guess = upscale(_internal(base, cfg.depth), cfg.scaling_low, k, cfg.average)
-    low = reconstruct(levels_of(stream, cfg, 1), size, cfg.scaling_low == "1d", table[1])
-    wide = upscale(add(guess, scatter(low, size, "i")), cfg.scaling_top, k, cfg.average)
-    top = reconstruct(levels_of(stream, cfg, 0), size, cfg.scaling_top == "1d", table[0])
-    return add(wide, scatter(top, size, "i")).withColumn("v", to_sample("v", cfg.depth))
+    guess = rg.upscale(_internal(base, cfg.depth), cfg.scaling_low, k, cfg.average)
+    low = reconstruct(_dense(levels_of(stream, cfg, 1), guess, cfg), size, cfg.scaling_low == "1d", table[1])
+    wide = rg.upscale(rg.add(guess, rg.scatter(low, size, "i")), cfg.scaling_top, k, cfg.average)
+    top = reconstruct(_dense(levels_of(stream, cfg, 0), wide, cfg), size, cfg.scaling_top == "1d", table[0])
+    return _picture(wide, top, cfg)
