@@ -1,72 +1,86 @@
 """Recurrences over the frames of a stream: rate control, smoothed difficulty, temporal buffer.
 
-State runs along one stream only.  Each stream is an array in frame order and a
-fold over it, so streams are independent rows; a stream longer than memory goes
-through ``latticework.streaming`` instead, which keeps the state in a store.
+State runs along one stream only, so streams are independent groups.  A stream
+longer than memory goes through ``latticework.streaming``, which takes the same
+steps and keeps the state in a store.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixedpoint import sat16
 
 
-def ordered(rows: DataFrame, keys: list[str], order: str, fields: list[str]) -> DataFrame:
-    """One row a stream: ``items``, structs of ``fields`` in ``order``."""
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("items"))
+def along(rows: DataFrame, keys: list[str], order: str, fields: list[str], zero: tuple, step, output: str) -> DataFrame:
+    """Rows (keys, order, *output) of a state that runs along each stream in ``order``.
+
+    ``step(state, *fields)`` gives the next state and the row to put out.  A
+    stream is a group of its numeric columns only; the walk is linear in it.
+    """
+    names = [c.split()[0] for c in output.split(", ")]
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in (*keys, order))
+
+    def walk(group, stream):
+        stream = stream.sort_values(order)
+        state, out = zero, []
+        for at, *values in zip(stream[order], *(stream[f] for f in fields)):
+            state, made = step(state, *values)
+            out.append((*group, at, *made))
+        return type(stream)(out, columns=[*keys, order, *names])
+
+    return rows.select(*keys, order, *fields).groupBy(*keys).applyInPandas(walk, f"{kinds}, {output}")
 
 
-def rate_factor(previous: Column, target: Column) -> Column:
+def rate_factor(previous: float, target: float) -> float:
     """Step correction from the last frame's size: none at first, gentle after a dropped frame, else the square root rule."""
-    ratio = F.least(F.greatest(F.sqrt(previous / target), F.lit(0.7)), F.lit(4.0))
-    return F.when(previous == 0, F.lit(1.0)).when(previous < target / 20.0, F.lit(0.9)).otherwise(ratio)
+    if not previous:
+        return 1.0
+    return 0.9 if previous < target / 20 else min(max(math.sqrt(previous / target), 0.7), 4.0)
 
 
-def next_step(step: Column, factor: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(F.floor(step * factor + 0.5), F.lit(low)), F.lit(high))
+def next_step(step: float, factor: float, low: int, high: int) -> int:
+    return min(max(math.floor(step * factor + 0.5), low), high)
 
 
-def rate_control(rows: DataFrame, keys: list[str], order: str, complexity: str, target: int, start: tuple[float, float] = (512.0, 256.0)) -> DataFrame:
-    """(keys, order, sw1, sw2, size): step widths that follow a size of complexity / sw2**2.
+def rate_step(target: float):
+    """State (sw1, sw2, size) and output of a frame whose size is complexity / sw2**2, a model of an encoder."""
 
-    The model of the size stands for an encoder; ``rate_factor`` and
-    ``next_step`` are what a real one feeds with its sizes.
-    """
-    streams = ordered(rows, keys, order, [complexity])
-    goal = F.lit(float(target))
-    kind = "struct<sw1:double,sw2:double,size:double,out:array<struct<at:bigint,sw1:double,sw2:double,size:double>>>"
-    zero = F.struct(F.lit(start[0]).alias("sw1"), F.lit(start[1]).alias("sw2"), F.lit(0.0).alias("size"), F.array().cast("array<struct<at:bigint,sw1:double,sw2:double,size:double>>").alias("out")).cast(kind)
+    def step(state, complexity):
+        sw1, sw2, size = state
+        f = rate_factor(size, target)
+        sw1, sw2 = next_step(sw1, f, 16, 16384), next_step(sw2, f, 1, 4096)
+        size = math.floor(complexity / (float(sw2) * float(sw2)))
+        return (sw1, sw2, size), (sw1, sw2, size)
+
+    return step
+
+
+def rate_control(rows: DataFrame, keys: list[str], order: str, complexity: str, target: int, start: tuple[int, int] = (512, 256)) -> DataFrame:
+    """(keys, order, sw1, sw2, size): step widths that follow the sizes they lead to."""
+    return along(rows, keys, order, [complexity], (*start, 0), rate_step(float(target)), "sw1 bigint, sw2 bigint, size bigint")
+
+
+def budget_step(target: int):
+    """State (previous sse, mean sse, mean weight): a frame's weight is the last error over the mean, smoothed by 0.95 / 0.05."""
 
-    def step(s: Column, x: Column) -> Column:
-        k = rate_factor(s["size"], goal)
-        a, b = next_step(s["sw1"], k, 16.0, 16384.0), next_step(s["sw2"], k, 1.0, 4096.0)
-        size = F.floor(x[complexity] / (b * b)).cast("double")
-        row = F.struct(x[order].cast("bigint").alias("at"), a.alias("sw1"), b.alias("sw2"), size.alias("size"))
-        return F.struct(a.alias("sw1"), b.alias("sw2"), size.alias("size"), F.concat(s["out"], F.array(row)).alias("out")).cast(kind)
+    def step(state, sse):
+        previous, mean, weights = state
+        raw = min(max(previous / mean, 0.5), 2.0) if mean else 1.0
+        weights = weights * 0.95 + raw * 0.05
+        mean = mean * 0.95 + sse * 0.05 if mean else float(sse)
+        weight = raw / weights
+        return (float(sse), mean, weights), (round(weight, 6), math.floor(round(weight * target, 4)))
 
-    folded = streams.select(*keys, F.explode(F.aggregate("items", zero, step)["out"]).alias("r"))
-    return folded.select(*keys, F.col("r.at").alias(order), *[F.col(f"r.{n}").cast("bigint").alias(n) for n in ("sw1", "sw2", "size")])
+    return step
 
 
 def weighted_budget(rows: DataFrame, keys: list[str], order: str, sse: str, target: int) -> DataFrame:
-    """(keys, order, weight, budget): frame budgets by difficulty, smoothed by 0.95 / 0.05."""
-    streams = ordered(rows, keys, order, [sse])
-    item = "struct<at:bigint,weight:double>"
-    kind = f"struct<previous:double,mean:double,weights:double,out:array<{item}>>"
-    zero = F.struct(F.lit(0.0).alias("previous"), F.lit(0.0).alias("mean"), F.lit(1.0).alias("weights"), F.array().cast(f"array<{item}>").alias("out")).cast(kind)
-
-    def step(s: Column, x: Column) -> Column:
-        now = x[sse].cast("double")
-        mean = F.when(s["mean"] == 0, now).otherwise(s["mean"] * 0.95 + now * 0.05)
-        raw = F.when(s["mean"] == 0, F.lit(1.0)).otherwise(F.least(F.greatest(s["previous"] / s["mean"], F.lit(0.5)), F.lit(2.0)))
-        weights = s["weights"] * 0.95 + raw * 0.05
-        row = F.struct(x[order].cast("bigint").alias("at"), (raw / weights).alias("weight"))
-        return F.struct(now.alias("previous"), mean.alias("mean"), weights.alias("weights"), F.concat(s["out"], F.array(row)).alias("out")).cast(kind)
-
-    out = streams.select(*keys, F.explode(F.aggregate("items", zero, step)["out"]).alias("r"))
-    return out.select(*keys, F.col("r.at").alias(order), F.round("r.weight", 6).alias("weight"), F.floor(F.round(F.col("r.weight") * target, 4)).cast("bigint").alias("budget"))
+    """(keys, order, weight, budget): frame budgets by difficulty."""
+    return along(rows, keys, order, [sse], (0.0, 0.0, 1.0), budget_step(target), "weight double, budget bigint")
 
 
 def temporal_buffer(residuals: DataFrame, keys: list[str], frame: str, intra: str, value: str) -> DataFrame:

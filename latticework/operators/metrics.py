@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 KEY = ["frame_idx", "plane", "y", "x"]
@@ -47,3 +47,9 @@ def layer_energy(coefficients: DataFrame, denom: int) -> DataFrame:
 def symbol_histogram(symbols: DataFrame, keys: list[str]) -> DataFrame:
     """Counts by context and byte of (ctx, byte) rows."""
     return symbols.groupBy(*keys, "ctx", "byte").agg(F.count("*").alias("n"))
+
+
+def watched(frames: DataFrame, name: str = "coding") -> tuple[DataFrame, Observation]:
+    """Coded frames (bytes, sse, dropped) that report totals while some action runs over them."""
+    seen = Observation(name)
+    return frames.observe(seen, F.count("*").alias("frames"), F.sum("bytes").alias("bytes"), F.sum("sse").alias("sse"), F.sum(F.col("dropped").cast("bigint")).alias("dropped")), seen

@@ -21,6 +21,7 @@ from ..functions import blockmath as bm
 from ..functions.prefix import coefficient_chunk, read_coefficients, signal_chunk
 from ..functions.quantizers import DEFAULT_MATRIX, INTER, INTRA, table_for
 from ..operators.base import BaseCodec, RawBase
+from ..operators.control import next_step, rate_factor
 from .codec import kernel
 from .config import StreamConfig
 
@@ -57,12 +58,6 @@ def content_matrix(energy: np.ndarray, default: tuple[int, ...], beta: float) ->
     return tuple(int(min(255, max(1, math.floor(d * (x / mean) ** beta + 0.5)))) for d, x in zip(default, e))
 
 
-def factor(previous: int, target: int) -> float:
-    if not previous:
-        return 1.0
-    return 0.9 if previous < target / 20 else min(max(math.sqrt(previous / target), 0.7), 4.0)
-
-
 def runs_of(levels: np.ndarray) -> list[tuple[int, int]]:
     """(value, zeros behind it) events of a layer."""
     at = np.flatnonzero(levels)
@@ -111,10 +106,8 @@ def code_frame(plane: np.ndarray, number: int, state: State, cfg: StreamConfig,
     peak = (1 << cfg.depth) - 1
     refresh = not cfg.temporal or state.buffer is None or number % control.refresh_every == 0
     if control.target_bytes:
-        f = factor(state.size, control.target_bytes)
-        (a, b), (c, d) = control.limits
-        state.low = min(max(math.floor(state.low * f + 0.5), a), b)
-        state.top = min(max(math.floor(state.top * f + 0.5), c), d)
+        f = rate_factor(state.size, control.target_bytes)
+        state.low, state.top = (next_step(w, f, *limit) for w, limit in zip((state.low, state.top), control.limits))
     for level in (0, 1):
         state.matrices.setdefault(level, DEFAULT_MATRIX[size, line, level])
     one = bm.downscale(plane, cfg.scaling_top, peak)

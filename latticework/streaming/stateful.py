@@ -8,7 +8,6 @@ than a frame behind them.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from typing import Any
 
@@ -17,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.control import rate_step
+
 
 def _stateful(stream: DataFrame, key: str, order: str, step, output: str, state: str, zero: tuple) -> DataFrame:
     kind = stream.schema[key].dataType.simpleString()
@@ -38,12 +39,11 @@ def _stateful(stream: DataFrame, key: str, order: str, step, output: str, state:
 def rate_control(stream: DataFrame, key: str, order: str, complexity: str, target: int, start: tuple[float, float] = (512.0, 256.0)) -> DataFrame:
     """Step widths of each frame from the size of the one before, as ``operators.control.rate_control``."""
 
+    move = rate_step(float(target))
+
     def step(now, row):
-        sw1, sw2, size = now
-        k = 1.0 if size == 0 else 0.9 if size < target / 20.0 else min(max(math.sqrt(size / target), 0.7), 4.0)
-        sw1, sw2 = (min(max(math.floor(w * k + 0.5), lo), hi) for w, lo, hi in ((sw1, 16.0, 16384.0), (sw2, 1.0, 4096.0)))
-        size = float(math.floor(getattr(row, complexity) / (sw2 * sw2)))
-        return (float(sw1), float(sw2), size), [(int(getattr(row, order)), int(sw1), int(sw2), int(size))]
+        state, made = move(now, getattr(row, complexity))
+        return tuple(map(float, state)), [(int(getattr(row, order)), *map(int, made))]
 
     return _stateful(stream, key, order, step, f"{order} long, sw1 long, sw2 long, size long", "sw1 double, sw2 double, size double", (*start, 0.0))
 

@@ -194,6 +194,8 @@ def test_useless_frames_are_dropped(spark):
     df = spark.createDataFrame(flat, "stream string, frame_idx long, height long, width long, data array<int>")
     rows = closed_loop.code_streams(df, "stream", StreamConfig(32, 32, chroma="mono"), closed_loop.Control()).collect()
     assert all(r.dropped and r.sse == r.base_only_sse for r in rows)
+    watched, seen = metrics.watched(closed_loop.code_streams(df, "stream", StreamConfig(32, 32, chroma="mono"), closed_loop.Control()))
+    assert watched.count() == 3 and seen.get["frames"] == 3 == seen.get["dropped"]
 
 
 def test_chunks_of_layers_read_back():
