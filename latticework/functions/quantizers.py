@@ -117,6 +117,12 @@ def table_for(step: int, matrix: tuple[int, ...], temporal: bool = False, top_le
     return out
 
 
+def of_layer(table: list[tuple[int, int, int]], layer: ColumnLike) -> tuple[Column, Column, Column]:
+    """Step width, offset and dead zone of a layer of ``table_for``, as a lookup in constant arrays."""
+    at = (col(layer) + 1).cast("int")
+    return tuple(F.element_at(F.array(*[F.lit(x).cast("bigint") for x in part]), at) for part in zip(*table))
+
+
 def quantize(num: ColumnLike, denom: int, step: ColumnLike, zone: ColumnLike) -> Column:
     """Level of the coefficient num / denom: nearest under the dead zone, away from zero."""
     num, step = col(num), col(step)

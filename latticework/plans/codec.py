@@ -7,20 +7,22 @@ Bit-serial work (prefix codes) is one Arrow stage over rows of one chunk each.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import blockmath as bm
 from ..functions.fixedpoint import to_internal, to_sample
 from ..functions.prefix import coefficient_chunk, read_coefficients
-from ..functions.quantizers import DEFAULT_MATRIX, choose_level, dequantize, quantize, table_for
-from ..functions.transforms import DENOMINATOR, columns, inverse, names
+from ..functions.quantizers import DEFAULT_MATRIX, dequantize, table_for
+from ..functions.transforms import columns, inverse, names
 from ..operators.base import BaseCodec, RawBase
 from ..operators import rows as rg
-from ..operators.blocks import TU, long_form, transform
+from ..operators.blocks import TU, long_form
 from ..operators.runs import coefficient_runs, expand_runs
 from ..operators.stencil import KERNELS, to_rows, to_samples
 from .config import StreamConfig
@@ -52,34 +54,26 @@ def _internal(rows: DataFrame, depth: int) -> DataFrame:
     return rg.map_rows(rows, lambda v: to_internal(v, depth))
 
 
-def code_blocks(blocks: DataFrame, size: int, line: bool, table: list[tuple[int, int, int]], rdoq: bool = True, keep_only_better: bool = True) -> DataFrame:
-    """Adds levels q0.. and their reconstruction i0.. to blocks with residual r0..
+def code_blocks(blocks: DataFrame, size: int, line: bool, table: list[tuple[int, int, int]], rdoq: bool = True, improve: bool = True) -> DataFrame:
+    """(block, q0.., i0..): levels of blocks with residual r0.. and what they stand for.
 
-    A block whose largest residual cannot reach any layer's threshold is zero
-    without a transform; one that its levels do not improve is zeroed.
+    A block whose largest residual cannot reach any layer's threshold is zero;
+    with ``improve`` one that its levels do not improve is zeroed.  Choosing
+    levels of sixteen layers as expressions makes a method that the JVM does not
+    compile, so this one step is numpy on Arrow batches; transforms and
+    reconstruction are generated code.
     """
-    denom = DENOMINATOR[size]
-    coded = transform(blocks, size, line)
-    levels = []
-    for k, (step, offset, zone) in enumerate(table):
-        q = quantize(f"c{k}", denom, step, zone)
-        levels.append(q.alias(f"q{k}"))
-    coded = coded.select("*", *levels)
-    if rdoq:
-        better = [choose_level(f"c{k}", denom, f"q{k}", step, offset).alias(f"q{k}") for k, (step, offset, _) in enumerate(table)]
-        coded = coded.select(*[c for c in coded.columns if not c.startswith("q")], *better)
-    threshold = min(step // 2 + offset for step, offset, _ in table)
-    largest = F.greatest(*[F.abs(F.col(n)) for n in names("r", size)])
-    dead = largest < threshold
-    coded = coded.select(*[c for c in coded.columns if not c.startswith("q")], *[F.when(dead, F.lit(0)).otherwise(F.col(n)).cast("bigint").alias(n) for n in names("q", size)])
-    coded = reconstruct(coded, size, line, table)
-    if keep_only_better:
-        before = sum((F.col(f"r{k}") * F.col(f"r{k}") for k in range(1, size * size)), F.col("r0") * F.col("r0"))
-        error = [F.col(f"r{k}") - F.col(f"i{k}") for k in range(size * size)]
-        worse = sum((e * e for e in error[1:]), error[0] * error[0]) >= before
-        zeroed = [F.when(worse, F.lit(0)).otherwise(F.col(n)).cast("bigint").alias(n) for p in "qi" for n in names(p, size)]
-        coded = coded.select(*[c for c in coded.columns if c[0] not in "qi"], *zeroed)
-    return coded
+    r, out = names("r", size), [*names("q", size), *names("i", size)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            residual = np.stack([batch.column(n).to_numpy() for n in r], 1)
+            level, made, _ = bm.code(residual, size, line, table, rdoq, improve)
+            both = np.concatenate([level, made], 1).T
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in TU), *(pa.array(np.ascontiguousarray(c)) for c in both)], names=[*TU, *out])
+
+    kinds = ", ".join(f"{c} bigint" for c in (*TU, *out))
+    return blocks.select(*TU, *[F.col(n).cast("bigint").alias(n) for n in r]).mapInArrow(run, kinds)
 
 
 def reconstruct(blocks: DataFrame, size: int, line: bool, table: list[tuple[int, int, int]]) -> DataFrame:
@@ -100,21 +94,23 @@ def _trim(blocks: DataFrame, prefix: str, size: int) -> DataFrame:
     return blocks.select(*TU, *names(prefix, size))
 
 
-def encode(samples: DataFrame, cfg: StreamConfig, step_low: int, step_top: int, rdoq: bool = True, base_codec: BaseCodec | None = None) -> Coded:
+def encode(samples: DataFrame, cfg: StreamConfig, step_low: int, step_top: int, rdoq: bool = True, base_codec: BaseCodec | None = None, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> Coded:
     """Base, levels and decoded picture of mono or planar frames (one geometry for all planes given).
 
-    Samples become rows once; from there on rows, lines of blocks and blocks move.
+    Samples become rows once; from there on rows, lines of blocks and blocks
+    move.  ``settle`` (such as ``session.settle``) keeps what several later
+    steps read, so that it is not worked out for each of them.
     """
     table = tables(cfg, step_low, step_top)
     size, k = cfg.block, kernel(cfg)
-    full = to_rows(samples)
+    full = settle(to_rows(samples))
     one, base = pyramid(full, cfg)
     if base_codec is not None:
         base = to_rows(base_codec.frames(to_samples(base), cfg.depth))
     guess = rg.upscale(_internal(base, cfg.depth), cfg.scaling_low, k, cfg.average)
-    low = code_blocks(rg.gather(rg.residual(_internal(one, cfg.depth), guess), size), size, cfg.scaling_low == "1d", table[1], rdoq)
-    wide = rg.upscale(rg.add(guess, rg.scatter(low, size, "i")), cfg.scaling_top, k, cfg.average)
-    top = code_blocks(rg.gather(rg.residual(_internal(full, cfg.depth), wide), size), size, cfg.scaling_top == "1d", table[0], rdoq)
+    low = settle(code_blocks(rg.gather(rg.residual(_internal(one, cfg.depth), guess), size), size, cfg.scaling_low == "1d", table[1], rdoq))
+    wide = settle(rg.upscale(rg.add(guess, rg.scatter(low, size, "i")), cfg.scaling_top, k, cfg.average))
+    top = settle(code_blocks(rg.gather(rg.residual(_internal(full, cfg.depth), wide), size), size, cfg.scaling_top == "1d", table[0], rdoq))
     return Coded(base, _trim(low, "q", size), _trim(top, "q", size), _picture(wide, top, cfg))
 
 

@@ -345,28 +345,34 @@ _LAYERS = f"{_RESIDUAL}, tus AS ({tu('res', 4)}), co AS ({multiply('tus', 'r', 4
 _LKEY = f"{_KEY}, layer"
 
 
-def _coefficients(spark: SparkSession, d: str, size: int = 4) -> DataFrame:
-    """Block rows with r, c and levels q of the dead-zone quantizer."""
-    coded = bl.transform(bl.gather(_residual(spark, d), size), size)
-    return coded.select("*", *[qz.quantize(f"c{k}", 16, w, z).alias(f"q{k}") for k, (w, _, z) in enumerate(qz.table_for(_Q_STEP, _MATRIX)[0])])
+_TABLE = qz.table_for(_Q_STEP, _MATRIX)[0]
+
+
+def _coefficients(spark: SparkSession, d: str) -> DataFrame:
+    """(block, layer, c, q): levels of the dead-zone quantizer, a row a layer.
+
+    Sixteen layers as columns would make one method too long to compile; as
+    rows they share one short expression.
+    """
+    rows = bl.long_form(bl.transform(bl.gather(_residual(spark, d), 4), 4), "c", 4, "c")
+    step, _, zone = qz.of_layer(_TABLE, "layer")
+    return rows.withColumn("q", qz.quantize("c", 16, step, zone))
 
 
 def _chosen(spark: SparkSession, d: str) -> DataFrame:
-    coded = _coefficients(spark, d)
-    better = [qz.choose_level(f"c{k}", 16, f"q{k}", w, f).alias(f"q{k}") for k, (w, f, _) in enumerate(qz.table_for(_Q_STEP, _MATRIX)[0])]
-    return coded.select(*[c for c in coded.columns if c[0] != "q"], *better)
+    step, offset, _ = qz.of_layer(_TABLE, "layer")
+    return _coefficients(spark, d).withColumn("q", qz.choose_level("c", 16, "q", step, offset))
 
 
 @query(f"WITH {_LAYERS} SELECT {_LKEY}, q FROM qz")
 def quantize_deadzone(spark, d):
-    return bl.long_form(_coefficients(spark, d), "q", 4, "q")
+    return _coefficients(spark, d).drop("c")
 
 
 @query(f"WITH {_LAYERS} SELECT {_LKEY}, {value_sql('q', 'w', 'f')} AS v FROM qz")
 def dequantize(spark, d):
-    coded = _coefficients(spark, d)
-    values = [qz.dequantize(f"q{k}", w, f).alias(f"d{k}") for k, (w, f, _) in enumerate(qz.table_for(_Q_STEP, _MATRIX)[0])]
-    return bl.long_form(coded.select(*bl.TU, *values), "d", 4, "v")
+    step, offset, _ = qz.of_layer(_TABLE, "layer")
+    return _coefficients(spark, d).select(*bl.TU, "layer", qz.dequantize("q", step, offset).alias("v"))
 
 
 _RDOQ = f"""{_LAYERS}, cand AS (SELECT {_LKEY}, c, q, w, f, ord, cq FROM (SELECT {_LKEY}, c, q, w, f, o.i + 1 AS ord, q + o.i AS cq FROM qz, range(-1, 2) o(i) UNION ALL SELECT {_LKEY}, c, q, w, f, 9, 0 FROM qz WHERE abs(q) <= 2)),
@@ -377,7 +383,7 @@ chosen AS (SELECT {_LKEY}, w, f, c, CASE WHEN abs(q) > 4 OR (q = 0 AND c * c <=
 
 @query(f"WITH {_RDOQ} SELECT {_LKEY}, q FROM chosen")
 def rdoq_exact(spark, d):
-    return bl.long_form(_chosen(spark, d), "q", 4, "q")
+    return _chosen(spark, d).drop("c")
 
 
 @query(f"WITH {_RESIDUAL}, tus AS ({tu('res', 4)}) SELECT {_KEY}, k AS layer, CASE WHEN k IN (0, 5, 10, 15) THEN (r * 12) >> 4 WHEN k IN (1, 4, 7, 13, 2, 8, 11, 14) THEN (r * 14) >> 4 ELSE r END AS v FROM tus")
@@ -409,7 +415,7 @@ def adaptive_matrix(spark, d):
 
 @query(f"WITH {_LAYERS}, m AS (SELECT min(step_width // 2 + step_offset) AS t FROM dq WHERE signal = 0) SELECT {_KEY}, max(abs(r)) AS largest FROM tus, m GROUP BY {_KEY}, t HAVING max(abs(r)) >= t")
 def zero_tu_filter(spark, d):
-    threshold = min(w // 2 + f for w, f, _ in qz.table_for(_Q_STEP, _MATRIX)[0])
+    threshold = min(w // 2 + f for w, f, _ in _TABLE)
     made = bl.gather(_residual(spark, d), 4)
     return made.select(*bl.TU, F.greatest(*[F.abs(F.col(n)) for n in names("r", 4)]).alias("largest")).where(F.col("largest") >= threshold)
 
@@ -420,13 +426,15 @@ _BACK4 = f"{_RDOQ}, dv AS (SELECT {_KEY}, layer AS k, {value_sql('q', 'w', 'f')}
 @query(f"""WITH {_BACK4} SELECT t.frame_idx, t.plane, t.tu_y, t.tu_x, sum(t.r * t.r)::BIGINT AS before, sum((t.r - c.c) * (t.r - c.c))::BIGINT AS after, sum((t.r - c.c) * (t.r - c.c)) < sum(t.r * t.r) AS keep
 FROM tus t JOIN rec c ON c.frame_idx = t.frame_idx AND c.plane = t.plane AND c.tu_y = t.tu_y AND c.tu_x = t.tu_x AND c.layer = t.k GROUP BY 1, 2, 3, 4""")
 def keep_tu(spark, d):
-    from .codec import reconstruct
+    from .codec import code_blocks
 
-    made = reconstruct(_chosen(spark, d), 4, False, qz.table_for(_Q_STEP, _MATRIX)[0])
-    pairs = [(F.col(f"r{k}"), F.col(f"i{k}")) for k in range(16)]
-    before = sum((r * r for r, _ in pairs[1:]), pairs[0][0] * pairs[0][0])
-    after = sum(((r - i) * (r - i) for r, i in pairs[1:]), (pairs[0][0] - pairs[0][1]) * (pairs[0][0] - pairs[0][1]))
-    return made.select(*bl.TU, before.alias("before"), after.alias("after"), (after < before).alias("keep"))
+    blocks = bl.gather(_residual(spark, d), 4)
+    made = blocks.join(code_blocks(blocks, 4, False, _TABLE, improve=False), bl.TU)
+    pairs = F.array(*[F.struct(F.col(f"r{k}").alias("r"), F.col(f"i{k}").alias("i")) for k in range(16)])
+    zero = F.lit(0).cast("bigint")
+    before = F.aggregate(pairs, zero, lambda s, p: s + p["r"] * p["r"])
+    after = F.aggregate(pairs, zero, lambda s, p: s + (p["r"] - p["i"]) * (p["r"] - p["i"]))
+    return made.select(*bl.TU, before.alias("before"), after.alias("after")).withColumn("keep", F.col("after") < F.col("before"))
 
 
 @query(f"WITH {_RESIDUAL} SELECT frame_idx, plane, sum((abs(v) > 1400)::BIGINT)::BIGINT AS above, count(*) AS n, sum((abs(v) > 1400)::BIGINT) * 10 > count(*) * 6 AS skip FROM res WHERE x % 2 = 0 AND y % 2 = 0 GROUP BY 1, 2")
@@ -438,8 +446,7 @@ def sampled_skip(spark, d):
 @query(f"WITH {_RDOQ} SELECT frame_idx, plane, bool_or(q <> 0) AS any_level FROM chosen WHERE tu_x % 2 = 0 AND tu_y % 2 = 0 GROUP BY 1, 2")
 def sampled_blocks_skip(spark, d):
     some = _chosen(spark, d).where("tu_x % 2 = 0 and tu_y % 2 = 0")
-    nonzero = F.greatest(*[(F.col(n) != 0).cast("int") for n in names("q", 4)])
-    return some.groupBy(*bl.FRAME).agg((F.max(nonzero) > 0).alias("any_level"))
+    return some.groupBy(*bl.FRAME).agg(F.max(F.col("q") != 0).alias("any_level"))
 
 
 @query(f"""WITH {_RESIDUAL}, coded AS (SELECT frame_idx, plane, y, x, (v // 512) * 512 AS c FROM res)

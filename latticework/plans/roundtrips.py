@@ -13,7 +13,7 @@ from ..functions import framing, prefix
 from ..functions.payload import NO_CHUNK, Chunk, read_plain, write_plain
 from ..operators import metrics, runs
 from ..operators.base import UniformBase
-from ..session import table
+from ..session import settle, table
 from ..sources.adapters import embedding_frames, event_frames, text_bytes, user_values
 from . import closed_loop, codec
 from .config import StreamConfig, read_global
@@ -132,8 +132,8 @@ def encode_decode_exact(spark: SparkSession, d: str) -> DataFrame:
     source, the decoder's largest difference from the encoder (0), coded size.
     """
     source = embedding_frames(spark, d)
-    coded = codec.encode(source, CODEC, *STEPS)
-    stream = codec.chunks(coded, CODEC)
+    coded = codec.encode(source, CODEC, *STEPS, settle=settle)
+    stream = settle(codec.chunks(coded, CODEC))
     decoded = codec.decode(coded.base, stream, CODEC, *STEPS)
     quality = metrics.squared_error(metrics.paired(source, coded.output), ["frame_idx"]).select("frame_idx", "sse", "n")
     same = metrics.squared_error(metrics.paired(coded.output, decoded), ["frame_idx"]).select("frame_idx", "max_diff")
@@ -146,8 +146,8 @@ def encode_decode_4x4(spark: SparkSession, d: str) -> DataFrame:
     """16x16 event frames with 4x4 blocks and both levels scaled."""
     cfg = StreamConfig(16, 16, base_depth=10, depth=10, chroma="mono", block=4, upsampler="cubic", average=True)
     source = event_frames(spark, d)
-    coded = codec.encode(source, cfg, 600, 400)
-    decoded = codec.decode(coded.base, codec.chunks(coded, cfg), cfg, 600, 400)
+    coded = codec.encode(source, cfg, 600, 400, settle=settle)
+    decoded = codec.decode(coded.base, settle(codec.chunks(coded, cfg)), cfg, 600, 400)
     same = metrics.squared_error(metrics.paired(coded.output, decoded), ["frame_idx"]).select("frame_idx", "max_diff")
     quality = metrics.squared_error(metrics.paired(source, coded.output), ["frame_idx"]).select("frame_idx", "sse")
     return quality.join(same, "frame_idx")
@@ -186,7 +186,7 @@ def verify_streams(spark: SparkSession, d: str) -> DataFrame:
 def payload_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Pictures of coded frames: flags and chunks framed as units, read back, chunks compared."""
     source = embedding_frames(spark, d)
-    stream = codec.chunks(codec.encode(source, CODEC, *STEPS), CODEC)
+    stream = codec.chunks(codec.encode(source, CODEC, *STEPS, settle=settle), CODEC)
     packed = stream.groupBy("frame_idx").agg(F.collect_list(F.struct("plane", "level", "layer", "data")).alias("chunks"))
 
     def work(rows):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -24,3 +25,16 @@ def share_code(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the parquet tables under ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and kept as replicated files, so lost executors cost no recomputation.
+
+    They go to the session's checkpoint folder (``spark.checkpoint.dir``), or to
+    a temporary one where none is set (tests, one machine).
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattice-checkpoint-"))
+    return df.checkpoint(eager=True)
