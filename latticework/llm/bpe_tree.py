@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from .textscan import slices
+from .textscan import give_back, slices
 
 NONE = np.int32(2**31 - 1)
 CELLS = 1 << 19
@@ -216,6 +216,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep: bool = Fals
                     cols += [pa.array([np.frombuffer(i, np.uint32).astype(np.int32) for i, _ in got], pa.list_(pa.int32())), pa.array([d for _, d in got], pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        bpe.known.clear()
+        give_back()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

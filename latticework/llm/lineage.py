@@ -1,20 +1,14 @@
-"""Cutting lineage in the folder that the whole cluster shares."""
+"""Cutting lineage in the folder that the whole cluster shares, and sizes of Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..session import settle as pin
 
+__all__ = ["pin", "small_batches"]
 
-def ready(spark: SparkSession) -> None:
-    """Have a checkpoint folder: the session's, or a temporary one where none is set (tests, one machine)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattice-checkpoint-"))
 
-
-def pin(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept as replicated files, so lost executors cost no recomputation."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Send long texts to Python in smaller batches, for executors with little memory beside their heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -76,8 +76,10 @@ def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chosen_path import near_duplicates
+    from .lineage import small_batches
 
     share_code(spark)
+    small_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
