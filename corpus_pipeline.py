@@ -12,19 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm import bpe_tree, chosen_path, cube_mix, pii_crf, quality_cnn
-from latticework.llm.lineage import pin
+from latticework.llm.lineage import pin, small_batches
 from latticework.session import share_code
 
 
+def _prepare(spark: SparkSession) -> None:
+    share_code(spark)
+    small_batches(spark)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    share_code(spark)
+    _prepare(spark)
     return quality_cnn.keep_good(docs, quality_cnn.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of smallest doc_id, of each group of near-duplicates; rows that repeat a doc_id give one."""
-    share_code(spark)
+    _prepare(spark)
     kept = chosen_path.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     found = docs.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return found.union(docs.where("doc_id is null"))
@@ -32,20 +37,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its personal data masked."""
-    share_code(spark)
+    _prepare(spark)
     return pii_crf.mask_personal_data(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    share_code(spark)
+    _prepare(spark)
     taken = cube_mix.mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("taken_id"), F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
     return docs.join(taken, F.col("doc_id").cast("long") == F.col("taken_id")).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of ids and decoded text of each row."""
-    share_code(spark)
+    _prepare(spark)
     return bpe_tree.encode_documents(docs)
 
 
