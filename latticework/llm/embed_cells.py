@@ -1,8 +1,10 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products.
 
 Vectors are compared only within a label.  Equal vectors are one, with a count.
-Spherical k-means, fitted on a bounded sample of each label, assigns vectors to
-cells.  A vector also visits every other cell it could have a partner in: if x
+Spherical k-means assigns the vectors of a label to cells; it is fitted on a
+bounded sample (``SAMPLE`` vectors a label, ``ALL_SAMPLES`` in all, of the
+``MOST_LABELS`` largest labels with more than ``BLOCK`` vectors; any other label
+is one cell, which changes the work and not the result).  A vector also visits every other cell it could have a partner in: if x
 lies in the cell of c and y in that of d, then y is within |x - y| of the plane
 between c and d, and cosine >= t means |x - y| <= sqrt(2 - 2t).  So all links
 are found, whatever the cells.
@@ -32,6 +34,8 @@ from .components import components
 from .lineage import pin
 
 SAMPLE = 2048
+ALL_SAMPLES = 1 << 15
+MOST_LABELS = 4096
 ROUNDS = 6
 MOST_CELLS = 512
 BLOCK = 1024
@@ -99,9 +103,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     reps = pin(plain.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")))
     member = plain.join(reps, same).select("vec_id", "rep", "m")
 
-    # A bounded sample of each label on the driver: at most about SAMPLE vectors.
-    counts = {r.label: r.n for r in reps.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    share = reps.sparkSession.createDataFrame([(x, min(1.0, SAMPLE / n)) for x, n in counts.items()] or [("", 1.0)], "label string, share double")
+    # Cells for the labels that one block cannot hold: a bounded sample on the driver.
+    crowded = reps.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).orderBy(F.desc("n"), "label").limit(MOST_LABELS)
+    counts = {r.label: r.n for r in crowded.collect()}
+    each = min(SAMPLE, ALL_SAMPLES // max(1, len(counts)))
+    share = reps.sparkSession.createDataFrame([(x, min(1.0, each / n)) for x, n in counts.items()], "label string, share double")
     drawn = F.pmod(F.xxhash64("rep"), F.lit(1_000_003)) / 1_000_003.0
     sample: dict[str, list] = {}
     for r in reps.join(F.broadcast(share), "label").where(drawn < F.col("share")).select("label", "rep", "embedding").collect():

@@ -29,6 +29,8 @@ from .lineage import pin
 SCALE = 8
 SHINGLE = 5
 RANGE = 1500
+#: Bounds what is broadcast (16 MB of ids) and the one small window over ranges; beyond it ranges grow.
+MOST_RANGES = 1 << 20
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -69,7 +71,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     low, high, n = docs.select(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    many = max(1, -(-n // RANGE))
+    many = max(1, min(MOST_RANGES, -(-n // RANGE)))
     width = max(1, -(-((high or 0) - (low or 0) + 1) // many))
     part = F.when(F.col("doc_id").isNull(), -1).otherwise(F.floor((F.col("doc_id") - F.lit(low or 0)) / width).cast("int"))
     place = part.alias("part")
