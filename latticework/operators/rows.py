@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixedpoint import clamp, sat16, shr
 from ..functions.transforms import names
-from .stencil import _mix, upscale_row
+from .stencil import _mix, average_row, upscale_row
 
 FRAME = ["frame_idx", "plane"]
 ROW = [*FRAME, "y"]
@@ -59,12 +59,8 @@ def upscale(rows: DataFrame, mode: str, kernel: tuple[int, ...], average: bool)
     if mode == "0d":
         return rows
     if mode == "1d":
-        wide = rows.select(*ROW, "vals", upscale_row(F.col("vals"), kernel).alias("up"))
-        if average:
-            two = lambda i: F.get("up", 2 * i) + F.get("up", 2 * i + 1)
-            wide = wide.select(*ROW, "up", F.transform("vals", lambda v, i: v - shr(two(i) + 1, 1)).alias("shift"))
-            wide = wide.select(*ROW, F.transform("up", lambda u, i: sat16(u + F.get("shift", F.shiftright(i, 1)))).alias("up"))
-        return wide.select(*ROW, F.col("up").alias("vals"))
+        up = average_row if average else upscale_row
+        return rows.select(*ROW, up(F.col("vals"), kernel).alias("vals"))
     w = Window.partitionBy(*FRAME).orderBy("y")
     k0, k1, k2, k3 = kernel
     around = rows.select(*ROW, F.col("vals").alias("c"), F.lag("vals", 1).over(w).alias("u1"), F.lag("vals", 2).over(w).alias("u2"), F.lead("vals", 1).over(w).alias("d1"), F.lead("vals", 2).over(w).alias("d2"))

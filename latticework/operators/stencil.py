@@ -49,8 +49,8 @@ def _round(total: Column) -> Column:
     return sat15(shr(total + 0x2000, 14))
 
 
-def upscale_row(vals: Column, kernel: tuple[int, ...]) -> Column:
-    """Twice the samples of a row; edges repeat the outer sample."""
+def row_pairs(vals: Column, kernel: tuple[int, ...]) -> Column:
+    """The two children of each sample of a row; edges repeat the outer sample."""
     k = [col(x) for x in kernel]
 
     def pair(x: Column) -> Column:
@@ -58,7 +58,22 @@ def upscale_row(vals: Column, kernel: tuple[int, ...]) -> Column:
         odd = sum((_tap(vals, x + d) * w for d, w in ((0, k[1]), (1, k[2]), (2, k[3]))), _tap(vals, x - 1) * k[0])
         return F.array(_round(even), _round(odd))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(vals) - 1), pair))
+    return F.transform(F.sequence(F.lit(0), F.size(vals) - 1), pair)
+
+
+def upscale_row(vals: Column, kernel: tuple[int, ...]) -> Column:
+    """Twice the samples of a row."""
+    return F.flatten(row_pairs(vals, kernel))
+
+
+def average_row(vals: Column, kernel: tuple[int, ...]) -> Column:
+    """Twice the samples of a row, each two children moved so that their mean is the sample."""
+
+    def moved(v: Column, p: Column) -> Column:
+        shift = v - shr(p[0] + p[1] + 1, 1)
+        return F.array(sat16(p[0] + shift), sat16(p[1] + shift))
+
+    return F.flatten(F.zip_with(vals, row_pairs(vals, kernel), moved))
 
 
 def _mix(rows: list[Column], weights: list[int]) -> Column:
@@ -73,13 +88,8 @@ def upscale(samples: DataFrame, mode: str, kernel: tuple[int, ...], average: boo
         return samples
     rows = to_rows(samples)
     if mode == "1d":
-        wide = rows.select(*FRAME, "y", "vals", upscale_row(F.col("vals"), kernel).alias("up"))
-        if average:
-            child = lambda i: F.get("up", i)
-            shift = F.transform("vals", lambda v, i: v - shr(child(2 * i) + child(2 * i + 1) + 1, 1))
-            wide = wide.select(*FRAME, "y", "up", shift.alias("shift"))
-            wide = wide.select(*FRAME, "y", F.transform("up", lambda u, i: sat16(u + F.get("shift", F.shiftright(i, 1)))).alias("up"))
-        return to_samples(wide.select(*FRAME, "y", F.col("up").alias("vals")))
+        up = average_row if average else upscale_row
+        return to_samples(rows.select(*FRAME, "y", up(F.col("vals"), kernel).alias("vals")))
     w = Window.partitionBy(*FRAME).orderBy("y")
     near = {d: (F.lag("vals", -d).over(w) if d < 0 else F.lead("vals", d).over(w)) for d in (-2, -1, 1, 2)}
     around = rows.select(*FRAME, "y", F.col("vals").alias("c"), *[c.alias(f"n{d + 2}") for d, c in near.items()])
