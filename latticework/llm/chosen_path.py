@@ -4,13 +4,14 @@ A document is the set of its five-word shingles.  Each set has ``T`` minwise
 tokens.  A tree branches the documents by its own minwise tokens: at depth two a
 node holds the documents that agree on two of them.  Every node first links its
 members to its smallest one; nodes that after that still hold several components
-are compared exhaustively when small and branched by further tokens when large.
+are compared exhaustively, pair by pair when small and in blocks when large.
 With 20 independent trees of depth two, a pair at similarity 0.75 misses all
 nodes with probability (1 - 0.75**2)**20 < 7e-8.
 
 In crowded nodes a set with too many tokens that no other member has cannot be
-linked at all, and leaves out; the leaves of the others are compared in blocks
-that give only the links which join components, never pairs.
+linked at all, and leaves out; the others are compared in blocks that give only
+the links which join components, never pairs.  No node branches on, so a crowd
+loses no more pairs than any other node.
 
 All links are confirmed on full sets, so none is false.  Members of one
 component need no further links among each other, which keeps a group of
@@ -42,7 +43,6 @@ TREES = 20
 T = 2 * TREES
 SMALL = 48
 BLOCK = 256
-DEEPEST = 8
 #: Fewest equal minwise tokens of T for an exact comparison; a pair at 0.75 has fewer with probability below 1e-7.
 LEAST_EQUAL = 14
 SLOT_BITS = 24
@@ -163,7 +163,7 @@ def common_tokens(sets: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
     row, col = row[place[at] >= 0], place[at][place[at] >= 0]
     for k in range(0, len(shared), width):
         cut = (col >= k) & (col < k + width)
-        have = np.zeros((len(sets), width), np.float32)
+        have = np.zeros((len(sets), min(width, len(shared) - k)), np.float32)
         have[row[cut], col[cut] - k] = 1
         out += have @ have.T
     np.fill_diagonal(out, [len(x) for x in sets])
@@ -195,15 +195,15 @@ def _linking(threshold: int):
     return compare
 
 
-def _links_in_leaves(leaves: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links between components inside crowded nodes' leaves (tree, node, rep, component, size).
+def _links_in_crowds(nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links between components inside crowded nodes (tree, node, rep, component, size).
 
-    A leaf is compared in blocks of at most about ``BLOCK`` by ``BLOCK``, each a
-    group of its own, so a leaf of any size is spread; only links come out.
+    A node is compared in blocks of at most about ``BLOCK`` by ``BLOCK``, each a
+    group of its own, so a node of any size is spread; only links come out.
     """
-    many = leaves.groupBy("tree", "node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    many = nodes.groupBy("tree", "node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     mine = F.pmod(F.xxhash64("rep", F.lit(9)), F.col("parts")).cast("int")
-    salted = leaves.join(many, ["tree", "node"]).withColumn("mine", mine)
+    salted = nodes.join(many, ["tree", "node"]).withColumn("mine", mine)
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     spread = salted.select("tree", "node", "rep", "component", "size", "mine", other.alias("o"))
     spread = spread.select("tree", "node", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "rep", "component", "size")
@@ -258,26 +258,14 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     fits = (100 * F.least("size", "size_b") >= threshold * F.greatest("size", "size_b")) & _alike("tokens", "tokens_b")
     extra = _confirmed(docs, left.join(right, ["tree", "node"]).where(F.expr("a < b and component <> other and a <> pivot") & fits).select("a", "b").distinct(), threshold)
 
-    # Crowded nodes: members that have too many tokens to themselves cannot be linked; the rest branch on.
+    # Crowded nodes: members that have too many tokens to themselves cannot be linked; the rest are compared in blocks.
     nodes = nodes.where(F.col("n") > SMALL)
     if not nodes.isEmpty():
         sets = pin(_full_sets(docs, nodes.select(F.col("rep").alias("id")).distinct()))
         known = tokens.join(_own_tokens(sets), "rep").where(100 * (F.col("size") - F.col("own")) >= threshold * F.col("size"))
-        nodes = nodes.select("tree", "node", "rep", "component").join(known.select("rep", "size", "tokens"), "rep")
-        depth, leaves = 2, []
-        while True:
-            nodes = pin(nodes.join(several(), ["tree", "node"]))
-            leaves.append(nodes if depth >= DEEPEST else nodes.where(F.col("n") <= SMALL))
-            nodes = nodes.where(F.col("n") > SMALL).drop("n")
-            if depth >= DEEPEST or nodes.isEmpty():
-                break
-            token = F.get("tokens", F.pmod(2 * F.col("tree") + depth, F.lit(T)))
-            nodes = nodes.withColumn("node", F.xxhash64("node", token))
-            depth += 1
-        ends = leaves[0]
-        for leaf in leaves[1:]:
-            ends = ends.union(leaf)
-        extra = extra.union(pin(_links_in_leaves(ends.select("tree", "node", "rep", "component", "size"), sets, threshold)))
+        nodes = nodes.select("tree", "node", "rep", "component").join(known.select("rep", "size"), "rep")
+        nodes = pin(nodes.join(several(), ["tree", "node"]).drop("n"))
+        extra = extra.union(pin(_links_in_crowds(nodes, sets, threshold)))
     extra = pin(extra.distinct())
     if not extra.isEmpty():
         found = components(links.union(extra))

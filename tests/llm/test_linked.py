@@ -73,6 +73,18 @@ def test_crowded_nodes_lose_no_link(docs, monkeypatch):
     test_near_duplicates_equal_brute_force(docs)
 
 
+def test_crowd_on_one_template_keeps_its_pairs(spark, monkeypatch):
+    share_code(spark)
+    monkeypatch.setattr(chosen_path, "SMALL", 4)
+    template = [f"t{k}" for k in range(144)]
+    rows = []
+    for p in range(75):  # 150 of 200 shingles within a pair, 140 of 210 across
+        shared = [f"s{p}x{k}" for k in range(10)]
+        rows += [(2 * p + q, " ".join(template + shared + [f"u{p}x{q}x{k}" for k in range(25)])) for q in (0, 1)]
+    got = {r.doc_id: r.component_id for r in chosen_path.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_repeats_equal_brute_force(docs):
     rows, df = docs
     seen, want = set(), {}
