@@ -6,7 +6,7 @@ twenty words have the same seed at the same place wherever they stand.  A seed
 thus owns a run of windows: its matches extended left and right.  Occurrences
 of a seed meet once, in text order; of the windows that extend them alike, all
 but the first are repeats.  A window is known by 64 bits of its seed, the place
-in it and 32 further bits of all its words.
+in it and 64 further bits of all its words.
 
 Before they meet, each batch of documents keeps one occurrence of each extended
 run and marks the others as repeats itself, so a passage of a third of all
@@ -44,7 +44,7 @@ def _runs(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     start, count = windows(words.first, WINDOW)
     if not len(start):
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none, none.astype(np.uint32)
+        return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none, none.astype(np.uint64)
     total, spread = len(words.start), WINDOW - SEED + 1
     seeds = run_hash(sums, np.arange(total - SEED + 1), np.arange(SEED, total + 1))
     low = (seeds & ~np.uint64(_LOW)) | (np.uint64(_LOW) - (np.arange(len(seeds)).astype(np.uint64) & np.uint64(_LOW)))
@@ -61,7 +61,7 @@ def _runs(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     n = np.diff(np.append(at, len(start)))
     first = start[at]
     row = np.searchsorted(words.first, first, "right") - 1
-    codes = (run_hash(sums, start, start + WINDOW) >> np.uint64(32)).astype(np.uint32)
+    codes = run_hash(sums, start, start + WINDOW)
     whole = run_hash(sums, first, first + n - 1 + WINDOW)
     return seeds[chosen[at]], whole, row, first - words.first[row], chosen[at] - first, n, codes
 
@@ -83,7 +83,7 @@ def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeat = np.zeros(len(order), bool)
         repeat[order] = (doc[order] != doc[order[head]]) | (first[order] != first[order[head]])
         ends = np.zeros(len(n) + 1, np.int32)
-        np.cumsum(np.where(repeat, 0, n) * 4, out=ends[1:])
+        np.cumsum(np.where(repeat, 0, n) * 8, out=ends[1:])
         kept = codes[np.repeat(~repeat, n)]
         span = (first << 10) | (place << 5) | (n - 1)
         payload = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(kept))])
@@ -101,7 +101,7 @@ def _judge(table: pa.Table) -> pa.RecordBatch:
     seed, doc, span = (table.column(c).to_numpy() for c in ("seed", "doc_id", "span"))
     codes = table.column("codes")
     codes = codes.chunk(0) if codes.num_chunks else pa.array([], pa.binary())
-    size = pc.binary_length(codes).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    size = pc.binary_length(codes).to_numpy(zero_copy_only=False).astype(np.int64) // 8
     n = (span & 31) + 1
     mask = np.where(size == 0, (1 << n) - 1, 0)
     live = np.flatnonzero(size > 0)
@@ -111,7 +111,7 @@ def _judge(table: pa.Table) -> pa.RecordBatch:
         group = np.cumsum(new) - 1
         many = np.bincount(group)[group] > 1
         at = np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + len(codes) + 1]
-        values = np.frombuffer(codes.buffers()[2], np.uint32)[at[0] // 4 : at[-1] // 4]
+        values = np.frombuffer(codes.buffers()[2], np.uint64)[at[0] // 8 : at[-1] // 8]
         pick = np.repeat(np.isin(np.arange(len(size)), live[many]), size)
         rows, group = live[many], group[many]
         if len(rows):
@@ -119,10 +119,10 @@ def _judge(table: pa.Table) -> pa.RecordBatch:
             row = np.repeat(rows, count)
             j = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
             place = ((span[row] >> 5) & 31) - j
-            key = ((np.repeat(group, count) * 32 + place).astype(np.uint64) << np.uint64(32)) | values[pick]
-            order = np.argsort(key, kind="stable")
+            key, value = np.repeat(group, count) * 32 + place, values[pick]
+            order = np.lexsort((value, key))
             same = np.zeros(len(order), bool)
-            same[1:] = key[order[1:]] == key[order[:-1]]
+            same[1:] = (key[order[1:]] == key[order[:-1]]) & (value[order[1:]] == value[order[:-1]])
             head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
             again = (doc[row[order]] != doc[row[head]]) | ((span[row[order]] >> 10) + j[order] != (span[row[head]] >> 10) + j[head])
             mask += np.bincount(row[order][again], weights=2.0 ** j[order][again], minlength=len(mask)).astype(np.int64)

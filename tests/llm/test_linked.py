@@ -5,9 +5,10 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from latticework.llm import chosen_path, embed_cells, scaled_sketch, substring_dedup
+from latticework.llm import chosen_path, embed_cells, scaled_sketch, substring_dedup, textscan
 from latticework.session import share_code
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component long, tokens string"
@@ -101,6 +102,19 @@ def test_repeats_equal_brute_force(docs):
     assert got == want
 
 
+def test_crowded_seed_has_no_chance_matches():
+    words = textscan.Words(pa.array([" ".join(f"h{k}" for k in range(100_000))]))
+    places = np.arange(len(words.start) - 4)
+    low = int(np.argmin(textscan.run_hash(textscan.run_sums(words.hashes()), places, places + 5)))
+    hot = " ".join(f"h{low + k}" for k in range(5))
+    n = 60_000  # texts that differ in every word but the seed's
+    texts = [" ".join([*(f"a{i}x{k}" for k in range(15)), hot, *(f"b{i}x{k}" for k in range(15))]) for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    rows = pa.Table.from_batches(substring_dedup._seed_rows([batch])).sort_by([("seed", "ascending"), ("doc_id", "ascending"), ("span", "ascending")])
+    assert np.bincount(np.unique(rows.column("seed").to_numpy(), return_inverse=True)[1]).max() > 0.9 * n
+    assert substring_dedup._judge(rows).num_rows == 0
+
+
 def test_repeated_rows_and_null_ids(spark):
     text = " ".join(f"q{k}" for k in range(40))
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text)], "doc_id long, text string")
