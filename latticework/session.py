@@ -30,11 +30,21 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 def settle(df: DataFrame) -> DataFrame:
     """The same rows, computed once and kept as replicated files, so lost executors cost no recomputation.
 
-    They go to the session's checkpoint folder (``spark.checkpoint.dir``), or to
-    a temporary one where none is set (tests, one machine).
+    They go to the session's checkpoint folder (``spark.checkpoint.dir``).  On one
+    machine a temporary one is made where none is set; a cluster must name one
+    that all of it shares.
+
+    The size that Catalyst guessed for ``df`` is forgotten: a guess for a join is
+    the product of its sides', and carried from one kept result into the next
+    it grows to numbers of millions of digits.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattice-checkpoint-"))
-    return df.checkpoint(eager=True)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lattice-checkpoint-"))
+    kept = df.checkpoint(eager=True)._jdf
+    rows = kept.queryExecution().analyzed().rdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept.schema(), False), spark)
