@@ -3,19 +3,24 @@
 A seed is a run of five words.  Each window of twenty words holds sixteen seeds
 and is owned by the one of smallest hash (the last of equals), so the same
 twenty words have the same seed at the same place wherever they stand.  A seed
-thus owns a run of windows: its matches extended left and right.  Occurrences
-of a seed meet once, in text order; of the windows that extend them alike, all
-but the first are repeats.  A window is known by 64 bits of its seed, the place
-in it and 64 further bits of all its words.
+thus owns a run of windows: its matches extended left and right, by fifteen
+words in all.  Occurrences of a seed meet once, in text order; of the windows
+that extend them alike, all but the first are repeats, and windows that overlap
+join to maximal repeats.  A window is known by 64 bits of its seed, the place in
+it and 64 further bits of all its words.
 
 Before they meet, each batch of documents keeps one occurrence of each extended
 run and marks the others as repeats itself, so a passage of a third of all
-documents sends a row a batch.  No pair of documents is formed.
+documents sends a row a batch.  A seed of more than ``AHEAD`` occurrences that
+extend differently (a very common phrase) is not held in memory: its windows are
+passed on and meet by their own words, in partial aggregates.  No pair of
+documents is formed.
 
 Defined cases: null or blank text has no words; a text under twenty words loses
-none; rows that repeat a doc_id are one document and none counts as earlier
-than another; a row with null doc_id takes no part and keeps its words; extra
-columns are ignored; an empty table gives an empty result.
+none; rows that repeat a doc_id, with the same or another text, are one document
+in the order of texts, so of windows that start at the same word of them none
+counts as earlier; a row with null doc_id takes no part and keeps its words;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,12 +34,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import Words, run_hash, run_sums, slices, windows
+from .lineage import pin, stable, with_totals
+from .textscan import Words, mix, run_hash, run_sums, slices, windows
 
 WINDOW = 20
 SEED = 5
 _LOW = (1 << 24) - 1
-_AHEAD = 200_000
+AHEAD = 200_000
+JUDGED = ["doc_id", "row", "cut", "start", "key", "code"]
 
 
 def _runs(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -69,11 +76,11 @@ def _runs(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
 def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         batch = batch.filter(batch.column("doc_id").is_valid())
-        got = [(part.column("doc_id").to_numpy(zero_copy_only=False), _runs(part)) for part in slices(batch)]
+        got = [(part.column("doc_id").to_numpy(zero_copy_only=False), part.column("row").to_numpy(), _runs(part)) for part in slices(batch)]
         if not got:
             continue
-        doc = np.concatenate([ids[r[2]] for ids, r in got])
-        seed, whole, _, first, place, n, codes = (np.concatenate([r[k] for _, r in got]) for k in range(7))
+        doc, number = np.concatenate([ids[r[2]] for ids, _, r in got]), np.concatenate([rows[r[2]] for _, rows, r in got])
+        seed, whole, _, first, place, n, codes = (np.concatenate([r[k] for _, _, r in got]) for k in range(7))
         if not len(seed):
             continue
         order = np.lexsort((first, doc, whole))
@@ -91,7 +98,7 @@ def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(n), 50_000):
             cut = slice(k, k + 50_000)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[cut].view(np.int64)), pa.array(doc[cut]), pa.array(span[cut]), payload.slice(k, 50_000)], names=["seed", "doc_id", "span", "codes"]
+                [pa.array(key[cut].view(np.int64)), pa.array(doc[cut]), pa.array(number[cut]), pa.array(span[cut]), payload.slice(k, 50_000)], names=["seed", "doc_id", "row", "span", "codes"]
             )
 
 
@@ -127,27 +134,57 @@ def _judge(table: pa.Table) -> pa.RecordBatch:
             again = (doc[row[order]] != doc[row[head]]) | ((span[row[order]] >> 10) + j[order] != (span[row[head]] >> 10) + j[head])
             mask += np.bincount(row[order][again], weights=2.0 ** j[order][again], minlength=len(mask)).astype(np.int64)
     hit = np.flatnonzero(mask)
-    return pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(((span[hit] >> 10) << 16) | mask[hit])], names=["doc_id", "cut"])
+    number, none = table.column("row").to_numpy()[hit], pa.nulls(len(hit), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(number), pa.array(((span[hit] >> 10) << 16) | mask[hit]), none, none, none], names=JUDGED)
+
+
+def _pass_on(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The windows of rows of one crowded seed, each with its start and the cut that it is if it repeats."""
+    for batch in table.combine_chunks().to_batches(max_chunksize=20_000):
+        seed, doc, number, span = (batch.column(c).to_numpy() for c in ("seed", "doc_id", "row", "span"))
+        codes = batch.column("codes")
+        at = np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + len(codes) + 1]
+        values = np.frombuffer(codes.buffers()[2], np.int64)[at[0] // 8 : at[-1] // 8]
+        n = np.diff(at) // 8
+        row = np.repeat(np.arange(len(n)), n)
+        j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        first = span[row] >> 10
+        key = mix(seed[row].view(np.uint64) + (((span[row] >> 5) & 31) - j).astype(np.uint64)).view(np.int64)
+        cols = [doc[row], number[row], (first << 16) | (1 << j), first + j, key, values]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=JUDGED)
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows, crowded = 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows >= _AHEAD:
-            table = pa.Table.from_batches(held)
-            seed = table.column("seed").to_numpy()
+        if rows < AHEAD:
+            continue
+        table = pa.Table.from_batches(held)
+        seed = table.column("seed").to_numpy()
+        if crowded is not None:
+            stop = int(np.searchsorted(seed, crowded, "right"))
+            yield from _pass_on(table.slice(0, stop))
+            table, seed, crowded = table.slice(stop), seed[stop:], crowded if stop == len(seed) else None
+        if len(seed):
             last = int(np.searchsorted(seed, seed[-1]))
             if last:
                 yield _judge(table.slice(0, last))
-                rest = table.slice(last).combine_chunks()
-                held, rows = rest.to_batches(), rest.num_rows
+                table = table.slice(last)
+            elif crowded is None and len(seed) >= AHEAD:
+                crowded = int(seed[0])
+                yield from _pass_on(table)
+                table = table.slice(0, 0)
+        held, rows = table.combine_chunks().to_batches(), table.num_rows
     if held:
-        yield _judge(pa.Table.from_batches(held))
+        table = pa.Table.from_batches(held)
+        stop = int(np.searchsorted(table.column("seed").to_numpy(), crowded, "right")) if crowded is not None else 0
+        yield from _pass_on(table.slice(0, stop))
+        yield _judge(table.slice(stop))
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,11 +220,20 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def drop_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, and the kept words (or, asked for, their digest)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seeds = docs.mapInArrow(_seed_rows, "seed long, doc_id long, span long, codes binary")
+    docs = stable(docs)
+    ids = F.col("doc_id").cast("long").alias("doc_id")
+    # Cuts go back to their text by doc_id, and only where that repeats by the row's number too.
+    alone = docs.select(ids).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    docs = docs.select(ids, (F.lit(0).cast("long") if alone else F.monotonically_increasing_id()).alias("row"), "text")
+    seeds = docs.mapInArrow(_seed_rows, "seed long, doc_id long, row long, span long, codes binary")
     met = seeds.repartition("seed").sortWithinPartitions("seed", "doc_id", "span")
-    cuts = met.mapInArrow(_repeats, "doc_id long, cut long").groupBy("doc_id").agg(F.collect_list("cut").alias("cuts"))
-    both = docs.join(cuts, "doc_id", "left")
+    judged = pin(met.mapInArrow(_repeats, ", ".join(f"{c} long" for c in JUDGED)))
+    cuts, crowds = judged.where("key is null").select(*JUDGED[:3]), judged.where("key is not null")
+    if not crowds.isEmpty():
+        crowds = with_totals(crowds, ["key", "code"], "doc_id", [F.min(F.struct("doc_id", "start")).alias("earliest")])
+        cuts = cuts.union(crowds.where("doc_id <> earliest.doc_id or start <> earliest.start").select(*JUDGED[:3]))
+    cuts = cuts.groupBy("doc_id", "row").agg(F.collect_list("cut").alias("cuts"))
+    both = docs.join(cuts, ["doc_id", "row"], "left")
     if digest:
         return both.mapInArrow(_digested, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     return both.mapInArrow(_rewrite, "doc_id long, n_words long, n_removed long, kept string")
