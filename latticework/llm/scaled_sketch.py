@@ -9,8 +9,10 @@ A fingerprint is the sorted kept hashes in hex.  Likeness is that containment
 estimate; if a sketch is empty it is 1 for equal texts and 0 otherwise.
 
 The next document is found without sorting all documents in one task: ids are
-cut into ranges of about ``RANGE`` rows, a window inside each range gives all but
-the last its successor, and the last takes the first of the next range.
+cut at quantiles and between these evenly into ranges of about ``RANGE`` rows, a
+window inside each range gives all but the last its successor, and the last
+takes the first of the next range.  Ids may be spread over all longs in any way:
+a few far from all others leave the rest in ranges of at most a quantile.
 
 Defined cases: null text is empty; a text of one to four words is one shingle;
 an empty text has an empty fingerprint; the next document goes by doc_id (null
@@ -26,11 +28,13 @@ from pyspark.sql import functions as F
 
 from .lineage import pin
 
-SCALE = 8
+SCALE = 4
 SHINGLE = 5
 RANGE = 1500
 #: Bounds what is broadcast (16 MB of ids) and the one small window over ranges; beyond it ranges grow.
 MOST_RANGES = 1 << 20
+#: Quantiles of doc_id that cut the ranges first.
+QUANTILES = 1000
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -67,13 +71,32 @@ def merge(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_union(a, b))
 
 
+def _ranges(docs: DataFrame) -> Column:
+    """Number of the range that a doc_id falls in: ascending with the id, -1 for null."""
+    n = docs.count()
+    many = max(1, min(MOST_RANGES, -(-n // RANGE)))
+    cuts = min(QUANTILES, many)
+    levels = [k / cuts for k in range(cuts + 1)]
+    edges = sorted(set(docs.select(F.percentile_approx("doc_id", levels, 10 * QUANTILES)).first()[0] or [0]))
+    inside = -(-many // cuts)
+    at = F.lit(edges)
+    # The last edge that is not above the id: first among every 32nd edge, then among those behind it.
+    coarse = F.size(F.filter(F.lit(edges[32::32]).cast("array<bigint>"), lambda e: e <= F.col("doc_id")))
+    fine = F.size(F.filter(F.slice(at, coarse * 32 + 2, 31), lambda e: e <= F.col("doc_id")))
+    known = coarse * 32 + fine
+
+    def place(k: Column) -> Column:  # doubles grow with the ids, so their order stays and nothing overflows
+        low, high = F.get(at, k).cast("double"), F.coalesce(F.get(at, k + 1), F.get(at, k)).cast("double")
+        share = (F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0))
+        return k * inside + F.least(F.greatest(F.floor(share * inside), F.lit(0)), F.lit(inside - 1)).cast("int")
+
+    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_once(known, place))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = docs.select(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    many = max(1, min(MOST_RANGES, -(-n // RANGE)))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // many))
-    part = F.when(F.col("doc_id").isNull(), -1).otherwise(F.floor((F.col("doc_id") - F.lit(low or 0)) / width).cast("int"))
+    part = _ranges(docs)
     place = part.alias("part")
     # First row of each range: few rows, a range each.
     heads = docs.groupBy(place).agg(F.min("doc_id").alias("head"))
