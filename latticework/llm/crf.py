@@ -18,7 +18,7 @@ class Layout:
     def __init__(self, first: np.ndarray, length: np.ndarray):
         keep = length > 0
         first, length = first[keep], length[keep]
-        order = np.argsort(-length, kind="stable")
+        self.order = order = np.argsort(-length, kind="stable")
         self.first, self.length = first[order], length[order]
         self.most = int(self.length[0]) if len(length) else 0
         self.active = len(length) - np.searchsorted(self.length[::-1], np.arange(self.most), "right")
@@ -86,6 +86,57 @@ def marginals(emit: np.ndarray, move: np.ndarray, begin: np.ndarray, layout: Lay
     return post
 
 
+def long_marginals(emit: np.ndarray, move: np.ndarray, begin: np.ndarray, first: np.ndarray, length: np.ndarray, block: int = 64) -> np.ndarray:
+    """Posteriors of sequences of any length, as ``marginals`` gives them, in steps of ``block`` words.
+
+    Blocks are worked on side by side.  A block's transfer matrix says what any
+    state before it leads to behind it, so what a sequence carries into each of
+    its blocks, from both ends, takes one step a block, and nothing is cut.
+    """
+    first, length = first[length > 0], length[length > 0]
+    if not len(length) or length.max() <= block:
+        return marginals(emit, move, begin, Layout(first, length))
+    k = emit.shape[1]
+    p = np.exp(emit - emit.max(1, keepdims=True))
+    step, start = np.exp(move), np.exp(begin)
+    blocks = (length + block - 1) // block
+    before = np.cumsum(blocks) - blocks
+    at = np.repeat(first, blocks) + (np.arange(int(blocks.sum())) - np.repeat(before, blocks)) * block
+    layout = Layout(at, np.minimum(block, np.repeat(first + length, blocks) - at))
+    through = np.zeros((len(at), k, k), p.dtype)
+    for t, n, x in layout.forward():
+        now = through[:n]
+        if t == 0:
+            now[:, np.arange(k), np.arange(k)] = p[x]
+        else:
+            now[:] = (now.reshape(-1, k) @ step).reshape(n, k, k) * p[x][:, None, :]
+            now /= now.sum((1, 2), keepdims=True)
+    carried = np.empty_like(through)
+    carried[layout.order] = through
+    lead, tail = np.tile(start.astype(p.dtype), (len(at), 1)), np.ones((len(at), k), p.dtype)
+    for j in range(1, int(blocks.max())):
+        x = before[blocks > j] + j
+        now = np.einsum("nk,nkj->nj", lead[x - 1], carried[x - 1]) @ step
+        lead[x] = now / now.sum(1, keepdims=True)
+    for j in range(int(blocks.max()) - 1, 0, -1):
+        x = before[blocks > j] + j
+        now = np.einsum("nkj,nj->nk", carried[x], tail[x]) @ step.T
+        tail[x - 1] = now / now.sum(1, keepdims=True)
+    alpha, beta = np.zeros_like(p), np.ones_like(p)
+    row = lead[layout.order]
+    for t, n, x in layout.forward():
+        row[:n] = (row[:n] @ step if t else row[:n]) * p[x]
+        row[:n] /= row[:n].sum(1, keepdims=True)
+        alpha[x] = row[:n]
+    row = tail[layout.order]
+    for t, n, x in layout.backward():
+        beta[x] = row[:n]
+        row[:n] = (row[:n] * p[x]) @ step.T
+        row[:n] /= row[:n].sum(1, keepdims=True)
+    post = alpha * beta
+    return post / post.sum(1, keepdims=True)
+
+
 def train(features: list[np.ndarray], sizes: list[int], owner: list[np.ndarray], gold: np.ndarray, layout: Layout, k: int, epochs: int, rate: float = 0.15, decay: float = 1e-4):
     """Weights by full-batch Adam on the conditional likelihood.
 

@@ -7,9 +7,12 @@ neighbouring words are learned, so a switch costs evidence.  Forward-backward
 gives each word a posterior; a document's languages are the means of these,
 weighted by letters, and the largest is predicted.
 
-Chains run over blocks of ``BLOCK`` words, which cover the whole text.  Training
-uses a bounded sample (``SAMPLE`` documents a language) outside the held-out
-fold.
+A chain is the whole text, however long: blocks of it are worked on side by side
+and what they carry over is exact.  Training uses a bounded sample (``SAMPLE``
+documents a language, of at most ``LONGEST`` characters, of the ``MOST_LANGUAGES``
+languages with most documents) outside the held-out fold; besides the documents
+themselves it is shown texts joined of stretches of several of them, so that
+moves are learned from switches too.
 
 Defined cases: null text, or text without letters, is ``und`` with score 0;
 repeated rows are predicted alike; with no labelled text everything is ``und``;
@@ -18,6 +21,7 @@ extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import random
 import sys
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,7 +36,10 @@ from .sampling import bucket
 from .textscan import mix, powers, slices
 
 SAMPLE = 120
+LONGEST = 100_000
+MOST_LANGUAGES = 64
 BLOCK = 64
+STRETCH = (3, 24)
 EPOCHS = 12
 BITS = 15
 SIZE = 1 << BITS
@@ -108,6 +115,7 @@ class LetterWords:
         return emit
 
     def layout(self) -> crf.Layout:
+        """Training chains: blocks of ``BLOCK`` words."""
         count = np.diff(self.first)
         blocks = (count + BLOCK - 1) // BLOCK
         before = np.cumsum(blocks) - blocks
@@ -123,7 +131,7 @@ class Languages:
     def words(self, texts: list[str]) -> tuple[LetterWords, np.ndarray]:
         """The words of the texts and each one's posterior over languages."""
         words = LetterWords(texts)
-        return words, crf.marginals(words.emissions(self.tables), self.move, self.begin, words.layout())
+        return words, crf.long_marginals(words.emissions(self.tables), self.move, self.begin, words.first[:-1], np.diff(words.first), BLOCK)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         if not self.names:
@@ -139,15 +147,32 @@ class Languages:
         return [self.names[k] if w > 0 else "und" for k, w in zip(best.tolist(), weight.tolist())], np.clip(score, 0, 1)
 
 
+def switched(texts: list[str], langs: list[str], count: int, seed: int = 4) -> list[tuple[str, list[str]]]:
+    """``count`` texts joined of stretches of several texts, and the language of each of their words."""
+    rng, out = random.Random(seed), []
+    split = [(t.split(), x) for t, x in zip(texts, langs)]
+    split = [(w, x) for w, x in split if w]
+    for _ in range(count if split else 0):
+        parts, gold = [], []
+        for _ in range(rng.randint(2, 5)):
+            words, lang = rng.choice(split)
+            at = rng.randrange(len(words))
+            part = " ".join(words[at : at + rng.randint(*STRETCH)])
+            parts.append(part)
+            gold += [lang] * len(LetterWords([part]).start)
+        out.append((" ".join(parts), gold))
+    return out
+
+
 def fit(texts: list[str], langs: list[str]) -> Languages:
     names = sorted(set(langs))
-    if not names:
+    mixed = switched(texts, langs, len(texts) if len(names) > 1 else 0)
+    words = LetterWords([*texts, *(t for t, _ in mixed)])
+    if not len(words.start):
         return Languages([], [], np.zeros((0, 0)), np.zeros(0))
-    words = LetterWords(texts)
-    gold = np.repeat(np.array([names.index(x) for x in langs], np.int64), np.diff(words.first))
+    plain = np.repeat(np.array([names.index(x) for x in langs], np.int64), np.diff(words.first)[: len(texts)])
+    gold = np.concatenate([plain, np.array([names.index(x) for _, g in mixed for x in g], np.int64)])
     codes, owner = words.features()
-    if not len(gold):
-        return Languages([], [], np.zeros((0, 0)), np.zeros(0))
     tables, move, begin = crf.train(codes, [SIZE] * 6, owner, gold, words.layout(), len(names), EPOCHS, rate=0.1, decay=1e-3)
     return Languages(names, tables, move, begin)
 
@@ -158,11 +183,12 @@ def held_out():
 
 def learn(docs: DataFrame) -> Languages:
     """A field fitted on about ``SAMPLE`` documents a language outside the held-out fold."""
-    known = docs.where("lang is not null and doc_id is not null").where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    counts = known.groupBy("lang").agg(F.count("*").alias("class_rows"))
+    known = docs.where("lang is not null and doc_id is not null").where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    known = known.where(F.length("text") <= LONGEST)
+    counts = known.groupBy("lang").agg(F.count("*").alias("class_rows")).orderBy(F.desc("class_rows"), "lang").limit(MOST_LANGUAGES)
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_003)) / 1_000_003.0
     rows = known.join(F.broadcast(counts), "lang").where(drawn < SAMPLE / F.col("class_rows"))
-    got = sorted((r.lang, r.doc_id, r.text or "") for r in rows.select("doc_id", "lang", "text").collect())
+    got = sorted((r.lang, r.doc_id, r.text) for r in rows.select("doc_id", "lang", "text").distinct().collect())
     return fit([t for _, _, t in got], [x for x, _, _ in got])
 
 

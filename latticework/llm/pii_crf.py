@@ -9,8 +9,10 @@ labelled table, which is a parameter; the built-in one is written from templates
 Added spans never overlap base ones, and an added card, phone, email or ip must
 still look like one (a card must pass Luhn), so that ordinary prose stays untouched.
 
-Sequences are lines; a long line is also cut between two words without digits or
-marks, where no span can run across.
+Sequences are lines.  They are decoded in pieces that end at words which are
+outside any span on every best path, whatever stands beside them; that is known
+from their scores and those of the next word, so the pieces' paths together are
+the line's.
 
 Defined cases: null text is empty and has no spans; spans count code points, end
 exclusive; repeated rows give repeated results; extra columns are ignored; an
@@ -45,7 +47,7 @@ CUES = ("tel", "phone", "call", "mobile", "fax", "card", "visa", "iban", "ssn",
 _AT = re.compile("@")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}")
 _DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -137,9 +139,13 @@ def shapes(words: Words) -> list[np.ndarray]:
     lower, upper, digit, other = (part(a, k) for k in range(4))
     at, dot, dash, plus = (part(b, k) for k in range(4))
     eq, quote, slash = (part(c, k) for k in range(3))
+    for w in np.flatnonzero(end - start > 60_000):  # beyond what the packed counters hold
+        n = np.bincount(_CLASS[data[start[w] : end[w]]], minlength=13)
+        lower[w], upper[w], digit[w], other[w], at[w], dot[w], dash[w] = n[[1, 2, 3, 12, 4, 5, 6]]
+        plus[w], eq[w], quote[w], slash[w] = n[7] + n[8], n[9], n[10], n[11]
     first, last = _CLASS[data[start]].astype(np.int64), _CLASS[data[end - 1]].astype(np.int64)
     case = np.where(upper == 0, 0, np.where(lower == 0, 2, 1))
-    digits = _DIGIT_BIN[digit].astype(np.int64)
+    digits = _DIGIT_BIN[np.minimum(digit, 65535)].astype(np.int64)
     hashes, cue_ids = _cue_hashes()
     codes = words.hashes(folded=True)
     near = np.minimum(np.searchsorted(hashes, codes), len(hashes) - 1)
@@ -153,7 +159,7 @@ def shapes(words: Words) -> list[np.ndarray]:
     after[edge[1:] - 1] = 0
     return [
         digits,
-        _LETTER_BIN[lower + upper].astype(np.int64) * 3 + case,
+        _LETTER_BIN[np.minimum(lower + upper, 65535)].astype(np.int64) * 3 + case,
         np.minimum(at, 2) * 5 + np.minimum(dot, 4),
         np.minimum(plus, 3) * 3 + np.minimum(dash, 2),
         np.minimum(eq, 1) * 4 + np.minimum(quote, 1) * 2 + np.minimum(slash, 1),
@@ -165,20 +171,48 @@ def shapes(words: Words) -> list[np.ndarray]:
     ]
 
 
-def lines(words: Words, codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """First word and length of each sequence."""
-    n = len(words.start)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    new = np.zeros(n, bool)
+def line_starts(words: Words) -> np.ndarray:
+    """Whether a word is the first of its line."""
+    new = np.zeros(len(words.start), bool)
     new[words.first[:-1][words.counts > 0]] = True
     breaks = np.concatenate([[0], np.cumsum(words.data == 10)])
     new[1:] |= breaks[words.start[1:]] > breaks[words.end[:-1]]
-    plain = (codes[0] == 0) & (codes[2] < 5) & (codes[3] < 3) & (codes[4] == 0) & (codes[7] == 0)
-    place = np.arange(n) - np.repeat(words.first[:-1], words.counts)
-    new[1:] |= plain[1:] & plain[:-1] & (place[1:] % LINE == 0)
-    first = np.flatnonzero(new)
-    return first, np.diff(np.append(first, n))
+    return new
+
+
+def outside(emit: np.ndarray, move: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Words that every best path leaves outside, whatever its states before and behind.
+
+    A path with state s at a word is compared with the one that is outside there
+    and else the same, but for an inner state behind it, which becomes the first
+    of its kind.  The word is surely outside if the change is a gain for every s,
+    every state before and every one behind.
+    """
+    n, k = emit.shape
+    sure, after = np.ones(n, bool), np.vstack([emit[1:], np.zeros((1, k), emit.dtype)])
+    inner = {STATES.index(x): STATES.index("B" + x[1:]) for x in STATES if x.startswith("I-")}
+    for s in range(1, k):
+        came = min(float((move[:, 0] - move[:, s]).min()), float(begin[0] - begin[s]))
+        gone = np.full(n, min([0.0, *(float(move[0, b] - move[s, b]) for b in range(k) if b not in inner)]))
+        for i, first in inner.items():
+            if move[s, i] > -1e3:
+                then = min(0.0, float((move[first] - move[i]).min()))
+                gone = np.minimum(gone, float(move[0, first] - move[s, i]) + after[:, first] - after[:, i] + then)
+        sure &= emit[:, 0] - emit[:, s] + came + gone > 1e-3
+    return sure
+
+
+def decode(emit: np.ndarray, move: np.ndarray, begin: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Viterbi states of lines (``new`` marks their first words), cut at sure words about every ``LINE``."""
+    n = len(emit)
+    sure = np.flatnonzero(outside(emit, move, begin)[:-1] & ~new[1:])
+    cut = sure[np.diff(sure // LINE, prepend=-1) > 0]
+    emit, piece = emit.copy(), new.copy()
+    emit[cut, 1:] = -1e9
+    emit[cut + 1] += move[0] - begin
+    piece[cut + 1] = True
+    first = np.flatnonzero(piece)
+    return crf.viterbi(emit, move, begin, crf.Layout(first, np.diff(np.append(first, n))))
 
 
 # Training table ------------------------------------------------------------
@@ -288,10 +322,8 @@ def field_spans(words: Words, texts: list[str], model) -> list[list[tuple[int, s
     emit = tables[0][codes[0]]
     for t, c in zip(tables[1:], codes[1:]):
         emit += t[c]
-    first, length = lines(words, codes)
-    states = crf.viterbi(emit, move, begin, crf.Layout(first, length))
-    new = np.zeros(n, bool)
-    new[first] = True
+    new = line_starts(words)
+    states = decode(emit, move, begin, new)
     head = np.flatnonzero((states > 0) & (~INSIDE[states] | new))
     if not len(head):
         return out
