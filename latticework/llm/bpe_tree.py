@@ -4,7 +4,10 @@ The leaves of a word's tree are the merge ranks of its adjacent symbol pairs;
 inner nodes hold the smaller child.  The root is thus the lowest rank, and going
 down to the left first finds its leftmost pair.  A merge changes three leaves
 and their paths.  Trees of equal width are worked on together, one merge in each
-at a time, as numpy arrays; a worker keeps the results of recent words.
+at a time, as numpy arrays; a worker keeps the results of recent words.  In a
+tree of more than ``TALL`` leaves all merges of the root's rank that do not overlap
+are done in one step where their symbol is in no pair of lower rank, so that
+the order makes no difference; so a long unbroken run takes a step a rank.
 
 The vocabulary file is a parameter.  Its pieces used here: NFC, white space runs
 to one space, lower case, the splitting pattern, byte symbols with a word end
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,6 +38,7 @@ from .textscan import give_back, slices
 
 NONE = np.int32(2**31 - 1)
 CELLS = 1 << 19
+TALL = 1 << 11
 #: Here the library's letters follow an older Unicode version; its own splitter then cuts the words.
 NEWER = regex.compile("[\u0558-\u1fff\u208f-\u209f\ua7c0-\U0010ffff]")
 REMEMBERED = 120_000
@@ -57,6 +62,7 @@ class PairTreeBPE:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in [*vocab.items(), *special.items()]}
         self.special = special
+        self.mark = os.path.commonprefix(list(special))
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(pattern)
@@ -73,6 +79,11 @@ class PairTreeBPE:
         self.ranks = np.array([p[1] for p in pairs], np.int32)
         self.merged = np.zeros(len(pairs), np.int64)
         self.merged[self.ranks] = [p[2] for p in pairs]
+        #: The lowest rank of a pair that a merge's symbol is in.
+        floor = np.full(max(vocab.values()) + 1, NONE, np.int32)
+        np.minimum.at(floor, self.keys >> 20, self.ranks)
+        np.minimum.at(floor, self.keys & 0xFFFFF, self.ranks)
+        self.floor = floor[self.merged]
         self.known: dict[str, tuple[bytes, str]] = {}
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -87,6 +98,10 @@ class PairTreeBPE:
         width = 1 << np.ceil(np.log2(np.maximum(size, 2))).astype(int)
         for w in np.unique(width):
             rows = np.flatnonzero(width == w)
+            if w > TALL:
+                for r in rows.tolist():
+                    out[r] = self._tall(words[r], int(w))
+                continue
             step = max(1, CELLS // int(w))
             for k in range(0, len(rows), step):
                 part = rows[k : k + step]
@@ -143,10 +158,50 @@ class PairTreeBPE:
         flat = symbol[live].astype(np.uint32)
         return np.split(flat, np.cumsum(live.sum(1))[:-1])
 
+    def _tall(self, word: bytes, w: int) -> np.ndarray:
+        """Ids of one long word, by a tree of ``w`` leaves."""
+        size = len(word)
+        symbol = self.inner[np.frombuffer(word, np.uint8)]
+        symbol[-1] = self.last[word[-1]]
+        tree = np.full(2 * w, NONE, np.int32)
+        tree[w : w + size - 1] = self.rank(symbol[:-1], symbol[1:])
+        level = w
+        while level > 1:
+            tree[level // 2 : level] = np.minimum(tree[level : 2 * level : 2], tree[level + 1 : 2 * level : 2])
+            level //= 2
+        after, before = np.arange(1, size + 1), np.arange(-1, size - 1)
+        while (low := tree[1]) != NONE:
+            every = self.floor[low] > low
+            i = np.ones(1, np.int64)
+            while i[0] < w:  # to all leaves of the root's rank, or the first
+                i = np.repeat(2 * i, 2) + np.tile([0, 1], len(i))
+                i = i[tree[i] == low]
+                i = i if every else i[:1]
+            i -= w
+            # Of pairs that overlap (the second symbol of one is the first of the next) each other one merges.
+            chained = np.zeros(len(i), bool)
+            chained[1:] = after[i[:-1]] == i[1:]
+            head = np.maximum.accumulate(np.where(chained, 0, np.arange(len(i))))
+            i = i[(np.arange(len(i)) - head) % 2 == 0]
+            j = after[i]
+            k = after[j]
+            symbol[i], symbol[j], after[i] = self.merged[low], -1, k
+            before[k[k < size]] = i[k < size]
+            h = before[i]
+            right, left = i[k < size], i[h >= 0]
+            tree[j + w] = tree[i + w] = NONE
+            tree[right + w] = self.rank(symbol[right], symbol[after[right]])
+            tree[before[left] + w] = self.rank(symbol[before[left]], symbol[left])
+            at = np.concatenate([i, j, before[left]]) + w
+            while at[0] > 1:
+                at = np.unique(at >> 1)
+                tree[at] = np.minimum(tree[2 * at], tree[2 * at + 1])
+        return symbol[symbol >= 0].astype(np.uint32)
+
     def pieces(self, text: str) -> list[str]:
         """Words of the text in order; the strings of special tokens stand for themselves behind a zero byte."""
         out: list[str] = []
-        for k, part in enumerate(self.cut.split(text) if self.cut and "<|" in text else [text]):
+        for k, part in enumerate(self.cut.split(text) if self.cut and self.mark in text else [text]):
             if k % 2:
                 out.append("\0" + part)
             elif NEWER.search(part):
