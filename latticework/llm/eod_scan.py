@@ -4,9 +4,12 @@ A token file is a flat run of little-endian identifiers, each document followed
 by an end-of-document identifier, without an index.  It is cut into blocks of
 any size.  Each block is searched with vector comparisons and gives the tokens
 before its first separator, the gaps between separators, and the tokens after
-the last.  A prefix scan over these summaries (one small row a block) numbers
-the documents and carries what a block left open into the next, however many
-blocks a document spans.
+the last.  A prefix scan over the summaries (one small row a block, without the
+gaps) numbers the documents and carries what a block left open into the next,
+however many blocks a document spans; the gaps then take their numbers.
+
+Files are read block by block: their list and sizes come from Spark, and a task
+seeks to its blocks, so a file may be larger than any task's memory.
 
 Defined cases: an empty document counts 0; what follows the last separator of a
 file is a document of its own if it has tokens; blocks hold whole identifiers,
@@ -23,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,12 +100,30 @@ def token_blocks(docs: DataFrame, path: str | None = None, block: int = BLOCK) -
     return given.mapInArrow(run, "file long, block long, data binary, ends array<long>")
 
 
+def _open(uri: str):
+    """A file system and a path in it for the name that Spark gives a file."""
+    from urllib.parse import unquote
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), unquote(uri.removeprefix("file:").replace("//", "", 1) if uri.startswith("file://") else uri.removeprefix("file:"))
+    return fs.FileSystem.from_uri(uri)
+
+
 def read_blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """Blocks (file, block, data) of the flat files under ``path``."""
-    files = spark.read.format("binaryFile").load(path)
-    many = F.ceil(F.col("length") / block).cast("long")
-    rows = files.select(F.col("path").alias("file"), "content", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(many, F.lit(1)) - 1)).alias("block"))
-    return rows.select("file", "block", F.substring("content", (F.col("block") * block + 1).cast("int"), F.lit(block)).alias("data"))
+    """Blocks (file, block, data) of the flat files under ``path``, each read by seeking; an empty file has none."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length").where("length > 0")
+    many = F.call_function("div", F.col("length") + (block - 1), F.lit(block))
+    places = files.select("file", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("block")).repartition("file", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, number in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist()):
+                system, name = _open(uri)
+                with system.open_input_file(name) as f:
+                    data = f.read_at(block, number * block)
+                yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([number], pa.int64()), pa.array([data], pa.binary())], names=["file", "block", "data"])
+
+    return places.mapInArrow(run, "file string, block long, data binary")
 
 
 def _scan(eod: int, width: int, key: str):
@@ -129,18 +151,21 @@ def _scan(eod: int, width: int, key: str):
 def count_tokens(blocks: DataFrame, eod: int = EOD, width: int = WIDTH) -> DataFrame:
     """(file, ordinal, n_tokens) of each document of each file, from blocks (file, block, data)."""
     kind = blocks.schema["file"].dataType.simpleString().replace("bigint", "long")
-    found = blocks.select("file", "block", "data").mapInArrow(_scan(eod, width, "file"), f"file {kind}, block long, found long, head long, tail long, gaps array<long>")
+    scanned = blocks.select("file", "block", "data").mapInArrow(_scan(eod, width, "file"), f"file {kind}, block long, found long, head long, tail long, gaps array<long>")
+    scanned = pin(scanned)
+    found = scanned.drop("gaps")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     # Blocks between two with separators share a stretch; what they and its first block left open carries on.
     placed = found.select("*", F.coalesce(F.sum("found").over(before), F.lit(0)).alias("seen"), F.coalesce(F.sum((F.col("found") > 0).cast("long")).over(before), F.lit(0)).alias("stretch"))
-    open_ = Window.partitionBy("file", "stretch").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     last = Window.partitionBy("file").orderBy("block")
-    inner = placed.select("*", F.coalesce(F.sum("tail").over(open_), F.lit(0)).alias("inside"), F.lag("tail").over(last).alias("left"), F.lag("found").over(last).alias("before_found"))
+    inner = placed.select("*", F.lag("tail").over(last).alias("left"), F.lag("found").over(last).alias("before_found"))
+    open_ = Window.partitionBy("file", "stretch").orderBy("block")
+    inside = F.coalesce(F.sum("tail").over(open_.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # The block that opened a stretch (the last one with separators) left its tail.
     opened = F.when(F.col("before_found") > 0, F.col("left")).otherwise(0)
-    start = Window.partitionBy("file", "stretch").orderBy("block")
-    carried = inner.select("*", (F.col("inside") + F.first(opened).over(start)).alias("carry"))
-    ended = carried.where("found > 0").select("file", F.col("seen"), F.concat(F.array(F.col("carry") + F.col("head")), F.col("gaps")).alias("counts"))
+    carried = pin(inner.select("file", "block", "found", "head", "tail", "seen", (inside + F.first(opened).over(open_)).alias("carry")))
+    ended = carried.where("found > 0").join(scanned.select("file", "block", "gaps"), ["file", "block"])
+    ended = ended.select("file", "seen", F.concat(F.array(F.col("carry") + F.col("head")), F.col("gaps")).alias("counts"))
     docs = ended.select("file", "seen", F.posexplode("counts").alias("k", "n_tokens")).select("file", (F.col("seen") + F.col("k")).alias("ordinal"), "n_tokens")
     # Tokens behind the last separator of a file.
     ends = carried.groupBy("file").agg(F.max(F.struct("block", "found", "seen", "carry", "tail")).alias("z"))
@@ -152,6 +177,7 @@ def document_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row a document: doc_id, n_tokens, counted in the flat token streams of ``docs``."""
     streams = pin(token_blocks(docs, path))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    listed = streams.select("file", "block", "ends").select("file", "ends", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("seen"))
+    placed = streams.select("file", "block", F.size("ends").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("seen"))
+    listed = streams.select("file", "block", "ends").join(placed, ["file", "block"])
     manifest = listed.select("file", "seen", F.posexplode("ends").alias("k", "doc_id")).select("file", (F.col("seen") + F.col("k")).alias("ordinal"), "doc_id")
     return manifest.join(count_tokens(streams), ["file", "ordinal"]).select("doc_id", "n_tokens")
