@@ -1,18 +1,20 @@
 """A training-data pipeline over ``documents``: quality, near-duplicates, personal data, mixing, tokens.
 
 Each stage takes all rows that the one before kept, with the columns of
-``documents``; the last gives token digests.  Nulls, empty texts, repeated rows
-and extra columns follow the operators' docstrings: a null text is scored,
+``documents``; the last gives token digests.  Stages know rows by their place in
+their input, never by doc_id, so rows with a null or repeated doc_id are rows
+like any other and extra columns may have any names.  Nulls, empty texts and
+repeated rows follow the operators' docstrings: a null text is scored,
 deduplicated (it links with nothing), mixed with size 0 and encoded as empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm import bpe_tree, chosen_path, cube_mix, pii_crf, quality_cnn
-from latticework.llm.lineage import pin, small_batches
+from latticework.llm.lineage import numbered, pin, small_batches, stable, unused
 from latticework.session import share_code
 
 
@@ -21,6 +23,10 @@ def _prepare(spark: SparkSession) -> None:
     small_batches(spark)
 
 
+def _columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     _prepare(spark)
@@ -28,11 +34,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of smallest doc_id, of each group of near-duplicates; rows that repeat a doc_id give one."""
+    """One document, of smallest doc_id (null last), of each group of near-duplicates; every row without shingles."""
     _prepare(spark)
-    kept = chosen_path.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    found = docs.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return found.union(docs.where("doc_id is null"))
+    docs = stable(docs)
+    rows, key = numbered(docs)
+    kept = chosen_path.near_duplicates(docs, extra=("row", "first")).where("first").select(F.col("row").alias(key))
+    return rows.join(kept, key, "left_semi").select(_columns(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +49,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each row as often as the mix takes it."""
     _prepare(spark)
-    taken = cube_mix.mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("taken_id"), F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    return docs.join(taken, F.col("doc_id").cast("long") == F.col("taken_id")).select(docs.columns)
+    docs = stable(docs)
+    rows, key = numbered(docs)
+    copy = unused(rows, "copy")
+    taken = cube_mix.mix_sources(docs, extra=("row",)).where("copies > 0").select(F.col("row").alias(key), F.explode(F.sequence(F.lit(1), "copies")).alias(copy))
+    return rows.join(taken, key).select(_columns(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
