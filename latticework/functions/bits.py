@@ -27,6 +27,11 @@ class BitWriter:
     def align(self) -> BitWriter:
         return self.put(0, -self._held % 8)
 
+    @property
+    def size(self) -> int:
+        """Bits written."""
+        return len(self._whole) * 8 + self._held
+
     def bytes(self) -> bytes:
         tail = bytes([self._rest << 8 - self._held]) if self._held else b""
         return bytes(self._whole) + tail
@@ -47,6 +52,17 @@ class BitReader:
         self.at = end
         return word & (1 << width) - 1
 
+    def peek(self, width: int) -> int:
+        """The next bits, with zeros behind the end."""
+        first = self.at >> 3
+        word = int.from_bytes(self.data[first : first + 4], "big") << 8 * max(0, first + 4 - len(self.data))
+        return word >> 32 - width - (self.at & 7) & (1 << width) - 1
+
+    def skip(self, width: int) -> None:
+        self.at += width
+        if self.at > len(self.data) * 8:
+            raise ValueError("the bit string ends early")
+
     def flag(self) -> bool:
         return bool(self.take(1))
 

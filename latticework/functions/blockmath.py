@@ -16,6 +16,8 @@ from .transforms import HADAMARD, LINE, LINE_BACK
 _H = np.array(HADAMARD)
 _L, _B = np.array(LINE), np.array(LINE_BACK)
 _ORDER = [0, 1, 3, 2]
+#: Residual places at the corners and along the sides of a 4x4 block (fixed values).
+CORNERS, SIDES = (0, 5, 10, 15), (1, 4, 7, 13, 2, 8, 11, 14)
 
 
 def matrices(size: int, line: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -57,6 +59,13 @@ def to_plane(blocks: np.ndarray, size: int, width: int, height: int) -> np.ndarr
     return flat.reshape(height // size, width // size, size, size).swapaxes(1, 2).reshape(height, width)
 
 
+def block_order(width: int, height: int, size: int, area: int = 32) -> np.ndarray:
+    """Raster indices of blocks in the order that walks areas of 32 by 32 one after the other, edge areas cropped."""
+    y, x = np.divmod(np.arange(height // size * (width // size)), width // size)
+    per = area // size
+    return np.lexsort((x, y, x // per, y // per))
+
+
 def quantize(num: np.ndarray, denom: int, step: np.ndarray, zone: np.ndarray) -> np.ndarray:
     level = (2 * np.abs(num) + denom * np.abs(2 * zone + step)) // (2 * denom * step)
     return np.clip(np.where(num == 0, 0, np.sign(num) * level), -8192, 8191)
@@ -83,7 +92,14 @@ def choose_levels(num: np.ndarray, denom: int, level: np.ndarray, step: np.ndarr
     return np.clip(np.where(fixed, level, best), -8192, 8191)
 
 
-def code(residual: np.ndarray, size: int, line: bool, table: list[tuple[int, int, int]], rdoq: bool = True, improve: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def softened(made: np.ndarray, corner: int, side: int) -> np.ndarray:
+    """4x4 blocks with corners and sides drawn back by sixteenths, as ``operators.blocks.soften``."""
+    scale = np.full(16, 16)
+    scale[list(CORNERS)], scale[list(SIDES)] = 16 - corner, 16 - side
+    return np.where(scale == 16, made, clip16(made * scale >> 4))
+
+
+def code(residual: np.ndarray, size: int, line: bool, table: list[tuple[int, int, int]], rdoq: bool = True, improve: bool = True, lambda_div: int = 16, soft: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Levels, reconstruction and coefficient numerators of residual blocks."""
     step, offset, zone = (np.array(c, np.int64) for c in zip(*table))
     forward, back = matrices(size, line)
@@ -91,10 +107,12 @@ def code(residual: np.ndarray, size: int, line: bool, table: list[tuple[int, int
     num = residual @ forward.T
     level = quantize(num, denom, step, zone)
     if rdoq:
-        level = choose_levels(num, denom, level, step, offset)
+        level = choose_levels(num, denom, level, step, offset, lambda_div)
     dead = np.abs(residual).max(1) < (step // 2 + offset).min()
     level[dead] = 0
     made = clip16(dequantize(level, step, offset) @ back.T)
+    if soft is not None and size == 4:
+        made = softened(made, *soft)
     if improve:
         worse = ((residual - made) ** 2).sum(1) >= (residual**2).sum(1)
         level[worse], made[worse] = 0, 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 from .bits import read_seven_bit, seven_bit
@@ -11,6 +12,7 @@ UNIT_PLAIN, UNIT_KEY = 28, 29
 SEQUENCE, GLOBAL, PICTURE, DATA, DATA_TILED, EXTRA, FILLER = range(7)
 STOP = 0x80
 START = b"\0\0\1"
+_START_LIKE = re.compile(rb"\0\0(?=[\0-\3])")
 
 
 def block_bytes(kind: int, payload: bytes) -> bytes:
@@ -21,25 +23,11 @@ def block_bytes(kind: int, payload: bytes) -> bytes:
 
 def escape(data: bytes) -> bytes:
     """Puts a 3 between two zeros and a byte of at most 3, so that no start code appears."""
-    out, zeros = bytearray(), 0
-    for b in data:
-        if zeros == 2 and b <= 3:
-            out.append(3)
-            zeros = 0
-        zeros = zeros + 1 if b == 0 else 0
-        out.append(b)
-    return bytes(out)
+    return _START_LIKE.sub(b"\0\0\3", data)
 
 
 def unescape(data: bytes) -> bytes:
-    out, zeros = bytearray(), 0
-    for b in data:
-        if zeros == 2 and b == 3:
-            zeros = 0
-            continue
-        zeros = zeros + 1 if b == 0 else 0
-        out.append(b)
-    return bytes(out)
+    return data.replace(b"\0\0\3", b"\0\0")
 
 
 def unit(key: bool, blocks: Sequence[tuple[int, bytes]]) -> bytes:

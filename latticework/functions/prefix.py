@@ -4,6 +4,10 @@ Code lengths are Huffman's, found with a heap; equal weights go by age and then
 symbol, so they depend on the counts alone.  Codes are canonical: among the
 longest, the largest symbol has the last code.  Table headers, chunk layouts and
 the special forms for no and one symbol follow the stream format.
+
+Writing is numpy throughout: symbols of a whole chunk are arrays, and their codes
+are laid out bit by bit at once.  Reading is serial by nature (a code's place is
+known when the one before it is read) and takes one table look-up a symbol.
 """
 
 from __future__ import annotations
@@ -11,11 +15,15 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterable, Sequence
+from functools import cached_property
+
+import numpy as np
 
 from .bits import BitReader, BitWriter, seven_bit
 
 LOW, HIGH, RUN = 0, 1, 2
 LIST_MOST = 31
+PEEK = 10
 
 
 def code_lengths(counts: dict[int, int]) -> dict[int, int]:
@@ -56,12 +64,25 @@ class Table:
 
     def __init__(self, lengths: dict[int, int]) -> None:
         self.lengths, self.codes = lengths, canonical(lengths)
-        self.symbols = {(n, c): s for s, (c, n) in self.codes.items()}
 
     @classmethod
     def of(cls, symbols: Iterable[int]) -> Table:
         return cls(code_lengths(Counter(symbols)))
 
+    @cached_property
+    def symbols(self) -> dict[tuple[int, int], int]:
+        return {(n, c): s for s, (c, n) in self.codes.items()}
+
+    @cached_property
+    def look(self) -> list[tuple[int, int] | None]:
+        """(symbol, length) by the next ``PEEK`` bits; nothing where the code is longer."""
+        out: list[tuple[int, int] | None] = [None] * (1 << PEEK)
+        for symbol, (code, length) in self.codes.items():
+            if length <= PEEK:
+                at = code << PEEK - length
+                out[at : at + (1 << PEEK - length)] = [(symbol, length)] * (1 << PEEK - length)
+        return out
+
     def write(self, out: BitWriter) -> None:
         if not self.lengths:
             out.put(31, 5).put(31, 5)
@@ -105,6 +126,9 @@ class Table:
         out.put(code, length)
 
     def take(self, src: BitReader) -> int:
+        if (hit := self.look[src.peek(PEEK)]) is not None:
+            src.skip(hit[1])
+            return hit[0]
         code = length = 0
         while (found := self.symbols.get((length, code))) is None:
             if length > 31:
@@ -113,37 +137,70 @@ class Table:
         return found
 
 
-def level_symbols(value: int, zeros: int) -> list[tuple[int, int]]:
-    """Context and byte of a level and of the zeros behind it."""
-    if -32 <= value < 32:
-        out = [(LOW, (value + 32) * 2)]
-    else:
-        wide = value + (1 << 13)
-        out = [(LOW, wide % 128 * 2 + 1), (HIGH, wide // 128)]
-    if zeros:
-        ctx, byte = out[-1]
-        out[-1] = (ctx, byte | 128)
-        out += [(RUN, b) for b in seven_bit(zeros)]
-    return out
-
-
-def _coded(symbols: Sequence[tuple[int, int]], contexts: int) -> tuple[BitWriter, list[Table]]:
-    tables = [Table.of(b for c, b in symbols if c == ctx) for ctx in range(contexts)]
-    out = BitWriter()
-    for t in tables:
-        t.write(out)
-    return out, tables
+def _groups(value: np.ndarray) -> np.ndarray:
+    """How many groups of seven bits each value has; none for 0."""
+    return sum(((value >> 7 * k) > 0).astype(np.int64) for k in range(9))
+
+
+def _runs(count: np.ndarray, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Byte ``place`` of the groups of each owner's value, the high bit set on all but the last."""
+    left = _groups(count)[owner] - 1 - place
+    return (count[owner] >> 7 * left) & 127 | np.where(left > 0, 128, 0)
+
+
+def level_symbols(value: np.ndarray, zeros: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Context and byte of levels and of the zeros behind each, in stream order."""
+    value, zeros = np.asarray(value, np.int64), np.asarray(zeros, np.int64)
+    large, runs = ((value < -32) | (value >= 32)).astype(np.int64), _groups(zeros)
+    size = 1 + large + runs
+    start = np.cumsum(size) - size
+    ctx, byte = np.full(int(size.sum()), RUN), np.zeros(int(size.sum()), np.int64)
+    wide = value + (1 << 13)
+    ctx[start], byte[start] = LOW, np.where(large, wide % 128 * 2 + 1, (value + 32) * 2)
+    ctx[start[large > 0] + 1], byte[start[large > 0] + 1] = HIGH, wide[large > 0] // 128
+    byte[start + large] |= np.where(zeros > 0, 128, 0)
+    owner = np.repeat(np.arange(len(value)), runs)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
+    byte[(start + 1 + large)[owner] + place] = _runs(zeros, owner, place)
+    return ctx, byte
+
+
+def coded(ctx: np.ndarray, byte: np.ndarray, contexts: int, lead: bytes = b"") -> bytes:
+    """Tables of all contexts, ``lead`` and the codes of the symbols."""
+    out, code, length = BitWriter(), np.zeros((contexts, 256), np.int64), np.zeros((contexts, 256), np.int64)
+    for c in range(contexts):
+        counts = np.bincount(byte[ctx == c], minlength=256)
+        table = Table(code_lengths({s: int(counts[s]) for s in np.flatnonzero(counts).tolist()}))
+        table.write(out)
+        for symbol, (bits, n) in table.codes.items():
+            code[c, symbol], length[c, symbol] = bits, n
+    for b in lead:
+        out.put(b, 8)
+    bits, n = code[ctx, byte], length[ctx, byte]
+    each = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+    head = np.unpackbits(np.frombuffer(out.bytes(), np.uint8))[: out.size]
+    return np.packbits(np.concatenate([head, (bits[each] >> (n[each] - 1 - place)) & 1]).astype(np.uint8)).tobytes()
 
 
 def coefficient_chunk(events: Iterable[tuple[int, int]], raw: bool = False) -> bytes:
     """Bytes of (value, zero_run) events; ``raw`` leaves the symbols uncoded."""
-    symbols = [s for value, zeros in events for s in level_symbols(value, zeros)]
-    if raw:
-        return bytes(b for _, b in symbols)
-    out, tables = _coded(symbols, 3)
-    for ctx, byte in symbols:
-        tables[ctx].put(out, byte)
-    return out.bytes()
+    pairs = np.array(list(events), np.int64).reshape(-1, 2)
+    return level_chunk(pairs[:, 0], pairs[:, 1], raw)
+
+
+def level_chunk(value: np.ndarray, zeros: np.ndarray, raw: bool = False) -> bytes:
+    ctx, byte = level_symbols(value, zeros)
+    return byte.astype(np.uint8).tobytes() if raw else coded(ctx, byte, 3)
+
+
+def sparse_chunk(place: np.ndarray, value: np.ndarray, total: int) -> bytes:
+    """Bytes of a layer of ``total`` levels that is zero but for ``value`` at the ascending ``place``."""
+    zeros = np.diff(place, append=total) - 1
+    if len(place) == 0 or place[0]:
+        first = place[0] if len(place) else total
+        value, zeros = np.concatenate([[0], value]), np.concatenate([[first - 1], zeros])
+    return level_chunk(value, zeros)
 
 
 def read_coefficients(data: bytes, total: int, raw: bool = False) -> list[tuple[int, int]]:
@@ -168,20 +225,27 @@ def read_coefficients(data: bytes, total: int, raw: bool = False) -> list[tuple[
     return events
 
 
+def nonzero_levels(data: bytes, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of a layer's nonzero levels."""
+    events = np.array(read_coefficients(data, total), np.int64).reshape(-1, 2)
+    place = np.cumsum(events[:, 1] + 1) - events[:, 1] - 1
+    hit = events[:, 0] != 0
+    return place[hit], events[hit, 0]
+
+
 def size_chunk(sizes: Sequence[int], signed: bool = False) -> bytes:
     """Bytes of chunk sizes, or of their signed differences."""
-    symbols = []
-    for v in sizes:
-        if not (-8192 <= v < 8192 if signed else 0 <= v < 16384):
-            raise ValueError(f"a size of {v} cannot be written in 14 bits")
-        small = -64 <= v < 64 if signed else v < 128
-        symbols.append((LOW, v % 128 * 2 + (not small)))
-        if not small:
-            symbols.append((HIGH, (v >> 7) % 128 + (128 if v < 0 else 0)))
-    out, tables = _coded(symbols, 2)
-    for ctx, byte in symbols:
-        tables[ctx].put(out, byte)
-    return out.bytes()
+    v = np.asarray(sizes, np.int64).reshape(-1)
+    wrong = (v < -8192) | (v >= 8192) if signed else (v < 0) | (v >= 16384)
+    if wrong.any():
+        raise ValueError(f"a size of {v[wrong][0]} cannot be written in 14 bits")
+    large = (~((v >= -64) & (v < 64)) if signed else v >= 128).astype(np.int64)
+    start = np.cumsum(1 + large) - 1 - large
+    ctx, byte = np.zeros(len(v) + int(large.sum()), np.int64), np.zeros(len(v) + int(large.sum()), np.int64)
+    byte[start] = v % 128 * 2 + large
+    at = start[large > 0] + 1
+    ctx[at], byte[at] = HIGH, ((v >> 7) % 128 + np.where(v < 0, 128, 0))[large > 0]
+    return coded(ctx, byte, 2)
 
 
 def read_sizes(data: bytes, count: int, signed: bool = False) -> tuple[list[int], int]:
@@ -207,12 +271,9 @@ def signal_chunk(runs: Sequence[tuple[int, int]]) -> bytes:
     """Bytes of alternating (signal, count) runs."""
     if any(a[0] == b[0] for a, b in zip(runs, runs[1:])):
         raise ValueError("runs must alternate")
-    out, tables = _coded([(s, b) for s, n in runs for b in seven_bit(n)], 2)
-    out.put(runs[0][0], 8)
-    for s, n in runs:
-        for b in seven_bit(n):
-            tables[s].put(out, b)
-    return out.bytes()
+    parts = [(s, seven_bit(n)) for s, n in runs]
+    ctx = np.repeat(np.array([s for s, _ in parts], np.int64), [len(b) for _, b in parts])
+    return coded(ctx, np.frombuffer(b"".join(b for _, b in parts), np.uint8).astype(np.int64), 2, bytes([runs[0][0]]))
 
 
 def read_signals(data: bytes, total: int) -> list[tuple[int, int]]:

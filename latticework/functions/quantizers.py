@@ -86,6 +86,11 @@ def matrix_rows(spark: SparkSession, steps: list[int], matrix: tuple[int, ...])
 # The same rule for one step on the driver, for plans that need its numbers as literals.
 
 
+def plane_step(step: int, plane: int, top_level: bool, multiplier: int) -> int:
+    """Step of a plane, as ``fixedpoint.step_of_plane``."""
+    return max(STEP_MIN, min(STEP_MAX, step * multiplier >> 6 if plane > 0 and top_level else step))
+
+
 def table_for(step: int, matrix: tuple[int, ...], temporal: bool = False, top_level: bool = True, refresh: bool = False, modifier: int = 48) -> dict[int, list[tuple[int, int, int]]]:
     """signal -> [(step_width, offset, deadzone)] by layer."""
 

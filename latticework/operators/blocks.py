@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.blockmath import CORNERS, SIDES
 from ..functions.fixedpoint import col, residual_index, sat16, shr
 from ..functions.transforms import columns, forward, inverse, names
 
@@ -47,10 +48,6 @@ def restore(blocks: DataFrame, size: int, line: bool = False, prefix: str = "d",
     return blocks.select("*", *[c.alias(n) for c, n in zip(back, names(out, size))])
 
 
-#: Residual places at the corners and along the sides of a 4x4 block (fixed values).
-CORNERS, SIDES = (0, 5, 10, 15), (1, 4, 7, 13, 2, 8, 11, 14)
-
-
 def soften(blocks: DataFrame, corner: int, side: int, prefix: str = "r", out: str = "f") -> DataFrame:
     """Adds out0..: a 4x4 block with corners scaled by (16 - corner) / 16 and sides by (16 - side) / 16."""
     scale = dict.fromkeys(CORNERS, 16 - corner) | dict.fromkeys(SIDES, 16 - side)

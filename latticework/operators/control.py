@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixedpoint import sat16
+from ..functions.fixedpoint import ColumnLike, col, sat16
 
 
 def along(rows: DataFrame, keys: list[str], order: str, fields: list[str], zero: tuple, step, output: str) -> DataFrame:
@@ -65,35 +65,66 @@ def rate_control(rows: DataFrame, keys: list[str], order: str, complexity: str,
 
 
 def budget_step(target: int):
-    """State (previous sse, mean sse, mean weight): a frame's weight is the last error over the mean, smoothed by 0.95 / 0.05."""
+    """State (previous sse, mean sse, mean weight): a frame's weight is the last error over the mean before it, smoothed by 0.95 / 0.05."""
 
     def step(state, sse):
         previous, mean, weights = state
-        raw = min(max(previous / mean, 0.5), 2.0) if mean else 1.0
-        weights = weights * 0.95 + raw * 0.05
-        mean = mean * 0.95 + sse * 0.05 if mean else float(sse)
-        weight = raw / weights
-        return (float(sse), mean, weights), (round(weight, 6), math.floor(round(weight * target, 4)))
+        weight, budget = 1.0, target
+        if mean > 0:
+            raw = min(max(previous / mean, 0.5), 2.0)
+            mean = mean * 0.95 + previous * 0.05
+            weights = weights * 0.95 + raw * 0.05
+            weight = raw / weights
+            budget = max(1, math.floor(target * weight + 0.5))
+        return (float(sse), mean or float(sse), weights), (round(weight, 6), budget)
 
     return step
 
 
 def weighted_budget(rows: DataFrame, keys: list[str], order: str, sse: str, target: int) -> DataFrame:
-    """(keys, order, weight, budget): frame budgets by difficulty."""
+    """(keys, order, weight, budget): frame budgets by difficulty, rounded and at least 1."""
     return along(rows, keys, order, [sse], (0.0, 0.0, 1.0), budget_step(target), "weight double, budget bigint")
 
 
+def frame_budget(base_bytes: ColumnLike, frames: ColumnLike, total_kbps: int, rate: int) -> Column:
+    """Bytes a frame that the enhancement gets of a total rate, given what the base took for so many frames; at least 1."""
+    base = F.when(col(frames) > 0, F.call_function("div", col(base_bytes) * (8 * rate), col(frames))).otherwise(F.lit(0).cast("bigint"))
+    left = F.greatest(F.lit(total_kbps * 1000).cast("bigint") - base, F.lit(0).cast("bigint"))
+    per_frame = F.call_function("div", F.call_function("div", left, F.lit(8).cast("bigint")), F.lit(max(1, rate)).cast("bigint"))
+    return F.greatest(per_frame, F.lit(1).cast("bigint"))
+
+
+def total_rate(width: int, height: int) -> int:
+    """Total kbps by picture size: 7000 at 3840x2160 in proportion, from 800 to 30000."""
+    return int(min(max(width * height / 8294400 * 7000, 800), 30000))
+
+
+def in_decode_order(pictures: DataFrame, units: DataFrame, keys: list[str], poc: str, decode: str, size: str) -> DataFrame:
+    """Units, which come by display place, joined with the pictures that say in which order they are written; adds ``written``."""
+    w = Window.partitionBy(*keys).orderBy(decode).rowsBetween(Window.unboundedPreceding, 0)
+    return pictures.join(units, [*keys, poc]).withColumn("written", F.sum(size).over(w))
+
+
+def _clamped_step(state: int, value: int) -> tuple[int, tuple[int, bool]]:
+    held = max(-32768, min(32767, state + value))
+    return held, (held, held != state + value)
+
+
 def temporal_buffer(residuals: DataFrame, keys: list[str], frame: str, intra: str, value: str) -> DataFrame:
-    """Adds ``buffer``: residuals summed since the last intra frame.
+    """Adds ``buffer``: residuals summed since the last intra frame, clamped to 16 bits at each frame, and whether that frame was.
 
-    A segmented running sum: exact as long as no sum leaves 16 bits, which
-    ``clamped`` marks.
+    A segmented running sum where no sum of the segment leaves 16 bits; only
+    segments with one that does are walked frame by frame.
     """
     w = Window.partitionBy(*keys).orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)
     cut = residuals.withColumn("segment", F.sum(F.col(intra).cast("bigint")).over(w))
-    inside = Window.partitionBy(*keys, "segment").orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.withColumn("raw", F.sum(value).over(inside)).withColumn("buffer", sat16("raw"))
-    return out.withColumn("clamped", F.col("raw") != F.col("buffer")).drop("raw", "segment")
+    by = [*keys, "segment"]
+    inside = Window.partitionBy(*by).orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)
+    summed = cut.withColumn("raw", F.sum(value).over(inside).cast("bigint"))
+    summed = summed.withColumn("leaves", F.max(F.col("raw") != sat16("raw")).over(Window.partitionBy(*by)))
+    plain = summed.where("not leaves").select(*residuals.columns, F.col("raw").alias("buffer"), F.lit(False).alias("clamped"))
+    walked = along(summed.where("leaves"), by, frame, [value], 0, _clamped_step, "buffer bigint, clamped boolean")
+    return plain.union(summed.where("leaves").join(walked, [*by, frame]).select(*plain.columns))
 
 
 def temporal_choice(blocks: DataFrame, by: list[str]) -> DataFrame:

@@ -26,11 +26,11 @@ ORACLES: dict[str, str] = {}
 
 # SQL building blocks --------------------------------------------------------
 
-EV = """ev AS (SELECT event_id // 256 AS frame_idx, 0::BIGINT AS plane, (event_id % 256) // 16 AS y, event_id % 16 AS x,
- least(greatest(floor(value), 0), 1023)::BIGINT AS v FROM events WHERE event_id < (SELECT count(*) // 256 * 256 FROM events))"""
+EV = """ev AS (SELECT i // 256 AS frame_idx, 0::BIGINT AS plane, (i % 256) // 16 AS y, i % 16 AS x, least(greatest(floor(coalesce(value, 0)), 0), 1023)::BIGINT AS v
+ FROM (SELECT (max(event_id) // 256 + 1) * 256 AS n FROM events) m, range(m.n) t(i) LEFT JOIN events ON event_id = i)"""
 EMB = """emb AS (SELECT vec_id AS frame_idx, 0::BIGINT AS plane, i // 8 AS y, i % 8 AS x,
  least(greatest(floor(embedding[i + 1]::DOUBLE * 256) + 128, 0), 255)::BIGINT AS v FROM embeddings, range(64) t(i))"""
-GRID = """grid AS (SELECT 0::BIGINT AS frame_idx, 0::BIGINT AS plane, a.i AS y, b.i AS x, least(coalesce(n, 0), 255)::BIGINT AS v
+GRID = """grid AS (SELECT 0::BIGINT AS frame_idx, 0::BIGINT AS plane, a.i AS y, b.i AS x, (coalesce(n, 0) % 256)::BIGINT AS v
  FROM range(64) a(i) CROSS JOIN range(64) b(i) LEFT JOIN (SELECT l_suppkey % 64 AS y, l_partkey % 64 AS x, count(*) AS n FROM lineitem GROUP BY 1, 2) c ON c.y = a.i AND c.x = b.i)"""
 SEQ = """seq AS (SELECT user_id, event_id AS i, (CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END * greatest(floor((value - 60) / 40), 0))::BIGINT AS v FROM events)"""
 
@@ -75,10 +75,11 @@ def up(name: str, k: tuple[int, ...], mode: str, average: bool = False) -> str:
     out = f"upv_{name} AS ({up_axis(name, k, 'y')}), up0_{name} AS ({up_axis(f'upv_{name}', k, 'x')})" if mode == "2d" else f"up0_{name} AS ({up_axis(name, k, 'x')})"
     if not average:
         return out + f", up_{name} AS (SELECT * FROM up0_{name})"
-    y, n, half, bits = ("y // 2", 4, 2, 2) if mode == "2d" else ("y", 2, 1, 1)
-    mean = f"(SELECT frame_idx, plane, {y} AS py, x // 2 AS px, (sum(v) + {half})::BIGINT >> {bits} AS m FROM up0_{name} GROUP BY 1, 2, 3, 4)"
-    return out + f""", up_{name} AS (SELECT u.frame_idx, u.plane, u.y, u.x, {c16('u.v + s.v - m.m')} AS v FROM up0_{name} u JOIN {mean} m
- ON m.frame_idx = u.frame_idx AND m.plane = u.plane AND m.py = u.{y} AND m.px = u.x // 2 JOIN {name} s ON s.frame_idx = u.frame_idx AND s.plane = u.plane AND s.y = m.py AND s.x = m.px)"""
+    y, half, bits = ("y // 2", 2, 2) if mode == "2d" else ("y", 1, 1)
+    kept = f"SELECT frame_idx, plane, y, x, v, {y} AS py, x // 2 AS px FROM up0_{name}"
+    mean = f"((sum(u.v) OVER (PARTITION BY u.frame_idx, u.plane, u.py, u.px) + {half})::BIGINT >> {bits})"
+    return out + f""", up_{name} AS (SELECT u.frame_idx, u.plane, u.y, u.x, {c16(f'u.v + s.v - {mean}')} AS v FROM ({kept}) u
+ JOIN {name} s ON s.frame_idx = u.frame_idx AND s.plane = u.plane AND s.y = u.py AND s.x = u.px)"""
 
 
 def tu(name: str, size: int) -> str:
@@ -626,26 +627,26 @@ def rate_control_scan(spark, d):
 
 
 @query("""WITH RECURSIVE o AS (SELECT user_id, event_id, floor(value)::DOUBLE + 1 AS e, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
-s AS (SELECT user_id, 0::BIGINT AS event_id, 0::BIGINT AS n, 0.0::DOUBLE AS prev, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS ws, 0.0::DOUBLE AS weight FROM (SELECT DISTINCT user_id FROM events)
- UNION ALL SELECT o.user_id, o.event_id, o.n, o.e, CASE WHEN s.mean = 0 THEN o.e ELSE s.mean * 0.95::DOUBLE + o.e * 0.05::DOUBLE END, s.ws * 0.95::DOUBLE + r.r * 0.05::DOUBLE, r.r / (s.ws * 0.95::DOUBLE + r.r * 0.05::DOUBLE)
+s AS (SELECT user_id, 0::BIGINT AS event_id, 0::BIGINT AS n, 0.0::DOUBLE AS prev, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS ws, 1.0::DOUBLE AS weight, 1000::BIGINT AS budget FROM (SELECT DISTINCT user_id FROM events)
+ UNION ALL SELECT o.user_id, o.event_id, o.n, o.e, CASE WHEN s.mean > 0 THEN s.mean * 0.95::DOUBLE + s.prev * 0.05::DOUBLE ELSE o.e END, CASE WHEN s.mean > 0 THEN s.ws * 0.95::DOUBLE + r.r * 0.05::DOUBLE ELSE s.ws END,
+ CASE WHEN s.mean > 0 THEN r.r / (s.ws * 0.95::DOUBLE + r.r * 0.05::DOUBLE) ELSE 1.0::DOUBLE END, CASE WHEN s.mean > 0 THEN greatest(1, floor(1000 * (r.r / (s.ws * 0.95::DOUBLE + r.r * 0.05::DOUBLE)) + 0.5))::BIGINT ELSE 1000 END
  FROM s JOIN o ON o.user_id = s.user_id AND o.n = s.n + 1, LATERAL (SELECT CASE WHEN s.mean = 0 THEN 1.0::DOUBLE ELSE least(greatest(s.prev / s.mean, 0.5::DOUBLE), 2.0::DOUBLE) END AS r) r)
-SELECT user_id, event_id, round(weight, 6) AS weight, floor(round(weight * 1000, 4))::BIGINT AS budget FROM s WHERE n > 0""")
+SELECT user_id, event_id, round(weight, 6) AS weight, budget FROM s WHERE n > 0""")
 def ema_budget(spark, d):
     rows = table(spark, d, "events").select("user_id", "event_id", (F.floor("value").cast("double") + 1).alias("sse"))
     return control.weighted_budget(rows, ["user_id"], "event_id", "sse", 1000)
 
 
-_BUFFER = f"{EV}, f AS (SELECT *, v - 64 AS r, (frame_idx % 5 = 0) AS intra FROM ev), g AS (SELECT *, sum(intra::BIGINT) OVER (PARTITION BY plane, y, x ORDER BY frame_idx) AS seg FROM f), b AS (SELECT frame_idx, plane, y, x, r, sum(r) OVER (PARTITION BY plane, y, x, seg ORDER BY frame_idx)::BIGINT AS raw FROM g)"
+_BUFFER = """b AS (SELECT frame_idx, plane, y, x, r, r AS buffer, false AS clamped FROM f WHERE frame_idx = 0
+ UNION ALL SELECT f.frame_idx, f.plane, f.y, f.x, f.r, least(greatest(t.raw, -32768), 32767)::BIGINT, t.raw < -32768 OR t.raw > 32767
+ FROM b JOIN f ON f.frame_idx = b.frame_idx + 1 AND f.y = b.y AND f.x = b.x, LATERAL (SELECT CASE WHEN f.intra THEN f.r ELSE b.buffer + f.r END AS raw) t)"""
 
 
-def _buffered(spark: SparkSession, d: str) -> DataFrame:
-    rows = event_frames(spark, d).select("frame_idx", "plane", "y", "x", (F.col("v") - 64).alias("r"), (F.col("frame_idx") % 5 == 0).alias("intra"))
-    return control.temporal_buffer(rows, ["plane", "y", "x"], "frame_idx", "intra", "r")
-
-
-@query(f"WITH {_BUFFER} SELECT frame_idx, plane, y, x, r, {c16('raw')} AS buffer, raw <> {c16('raw')} AS clamped FROM b")
+@query(f"WITH RECURSIVE {EV}, f AS (SELECT frame_idx, plane, y, x, (v - 64) * 120 AS r, frame_idx % 5 = 0 AS intra FROM ev), {_BUFFER} SELECT * FROM b")
 def temporal_buffer(spark, d):
-    return _buffered(spark, d).drop("intra")
+    v = ((F.col("v") - 64) * 120).alias("r")
+    rows = event_frames(spark, d).select("frame_idx", "plane", "y", "x", v, (F.col("frame_idx") % 5 == 0).alias("intra"))
+    return control.temporal_buffer(rows, ["plane", "y", "x"], "frame_idx", "intra", "r").drop("intra")
 
 
 @query(f"""WITH {EV}, p AS (SELECT frame_idx, plane, y, x, v AS s, lag(v, 1, 0) OVER w AS tb0, 60 AS p FROM ev WINDOW w AS (PARTITION BY plane, y, x ORDER BY frame_idx)),
@@ -665,14 +666,11 @@ def poc_reorder(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id")
-    rows = table(spark, d, "events").select(
-        "user_id",
-        (F.row_number().over(w.orderBy("event_id")) - 1).cast("bigint").alias("poc"),
-        (F.row_number().over(w.orderBy(F.call_function("div", F.col("event_id"), F.lit(8)), F.desc("event_id"))) - 1).cast("bigint").alias("decode_idx"),
-        F.length("props").cast("bigint").alias("size"),
-    )
-    # A picture and its enhancement share the row here; apart, they join on (stream, poc).
-    return rows.withColumn("written", F.sum("size").over(w.orderBy("decode_idx").rowsBetween(Window.unboundedPreceding, 0)))
+    events = table(spark, d, "events")
+    place = (F.row_number().over(w.orderBy("event_id")) - 1).cast("bigint").alias("poc")
+    units = events.select("user_id", place, F.length("props").cast("bigint").alias("size"))
+    pictures = events.select("user_id", place, (F.row_number().over(w.orderBy(F.call_function("div", F.col("event_id"), F.lit(8)), F.desc("event_id"))) - 1).cast("bigint").alias("decode_idx"))
+    return control.in_decode_order(pictures, units, ["user_id"], "poc", "decode_idx", "size")
 
 
 @query(f"WITH {EV} SELECT frame_idx // {control.gop_length(0.3, 25)} AS gop, count(DISTINCT frame_idx) AS frames, sum(v)::BIGINT AS total FROM ev GROUP BY 1")
@@ -688,12 +686,13 @@ def level_bands(spark, d):
     return rows.withColumn("level", fp.level_band(F.col("fps") * F.col("samples")))
 
 
-@query("WITH s AS (SELECT user_id, event_id, length(props)::BIGINT AS base, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), r AS (SELECT *, sum(base) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS upto FROM s) SELECT user_id, event_id, greatest(0, (900 * n - 8 * upto * 25 // 25) // (8 * n))::BIGINT AS budget FROM r")
+@query("""WITH s AS (SELECT user_id, event_id, length(props)::BIGINT AS base, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT *, sum(base) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS upto FROM s)
+SELECT user_id, event_id, greatest(1, greatest(0, 12000 - (upto * 8 * 25) // n) // 8 // 25)::BIGINT AS budget FROM r""")
 def frame_budget(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("event_id")
-    rows = table(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).alias("n"), F.sum(F.length("props")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
-    # Whole bits a frame less what the base took so far, in bytes.
-    left = F.col("n") * 900 - F.col("upto") * 8
-    return rows.select("user_id", "event_id", F.greatest(F.lit(0).cast("bigint"), F.call_function("div", left, F.col("n") * 8).cast("bigint")).alias("budget"))
+    upto = F.sum(F.length("props").cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = table(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).alias("n"), upto.alias("upto"))
+    return rows.select("user_id", "event_id", control.frame_budget("upto", "n", 12, 25).alias("budget"))

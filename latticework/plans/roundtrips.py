@@ -14,7 +14,7 @@ from ..functions.payload import NO_CHUNK, Chunk, read_plain, write_plain
 from ..operators import metrics, runs
 from ..operators.base import UniformBase
 from ..session import settle, table
-from ..sources.adapters import embedding_frames, event_frames, text_bytes, user_values
+from ..sources.adapters import embedding_frames, event_frames, event_planes, text_bytes, user_values
 from . import closed_loop, codec
 from .config import StreamConfig, read_global
 from .queries import EV, query
@@ -154,10 +154,15 @@ def encode_decode_4x4(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _streams(spark: SparkSession, d: str) -> DataFrame:
-    """Event frames dealt out to four streams, a plane a row."""
+    """Event frames dealt out to four streams, a picture a row; a stream's pictures count from 0."""
     rows = event_frames(spark, d).groupBy("frame_idx").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("s"))
-    side = F.lit(16).cast("bigint")
-    return rows.select((F.col("frame_idx") % 4).alias("stream"), "frame_idx", side.alias("height"), side.alias("width"), F.transform("s", lambda s: s["v"].cast("int")).alias("data"))
+    return rows.select((F.col("frame_idx") % 4).alias("stream"), F.call_function("div", F.col("frame_idx"), F.lit(4)).alias("frame_idx"), F.transform("s", lambda s: s["v"].cast("int")).alias("data"))
+
+
+def _colour_streams(spark: SparkSession, d: str) -> DataFrame:
+    """The same as 4:2:0 pictures of three planes."""
+    rows = event_planes(spark, d).groupBy("frame_idx").agg(F.array_sort(F.collect_list(F.struct("plane", "y", "x", "v"))).alias("s"))
+    return rows.select((F.col("frame_idx") % 4).alias("stream"), F.call_function("div", F.col("frame_idx"), F.lit(4)).alias("frame_idx"), F.transform("s", lambda s: s["v"].cast("int")).alias("data"))
 
 
 @query()
@@ -174,6 +179,27 @@ def closed_loop_temporal(spark: SparkSession, d: str) -> DataFrame:
     return closed_loop.code_streams(_streams(spark, d), "stream", cfg, closed_loop.Control(refresh_every=8), UniformBase(8))
 
 
+@query(f"WITH {EV} SELECT frame_idx % 4 AS stream, frame_idx // 4 AS frame_idx, 0::BIGINT AS max_diff, (count(*) * 3 // 2)::BIGINT AS samples FROM ev GROUP BY 1, 2")
+def closed_loop_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """4:2:0 streams with temporal prediction, rate control and drops, read back from their units: no sample differs from the coder's picture."""
+    cfg = StreamConfig(16, 16, base_depth=10, depth=10, block=2, scaling_low="0d", temporal=True, multiplier=40)
+    control = closed_loop.Control(refresh_every=8, target_bytes=300)
+    coded = settle(closed_loop.code_streams(_colour_streams(spark, d), "stream", cfg, control, UniformBase(8), stream=True))
+    both = closed_loop.decode_streams(coded, "stream", cfg).join(coded.select("stream", "frame_idx", "output"), ["stream", "frame_idx"])
+    apart = F.array_max(F.zip_with("data", "output", lambda a, b: F.abs(a - b)))
+    return both.select("stream", "frame_idx", apart.cast("bigint").alias("max_diff"), F.size("data").cast("bigint").alias("samples"))
+
+
+@query(f"WITH {EV} SELECT frame_idx, p::BIGINT AS plane, 0::BIGINT AS max_diff, (CASE WHEN p = 0 THEN count(*) ELSE count(*) // 4 END)::BIGINT AS samples FROM ev, range(3) t(p) GROUP BY 1, 2")
+def encode_decode_420(spark: SparkSession, d: str) -> DataFrame:
+    """All planes of 4:2:0 pictures coded in one plan with their own steps, and decoded: no sample differs."""
+    cfg = StreamConfig(16, 16, base_depth=10, depth=10, block=4, scaling_low="0d", multiplier=40, upsampler="cubic", filter_levels=(2, 1))
+    coded = codec.encode(event_planes(spark, d), cfg, 600, 400, settle=settle, lambda_div=4)
+    decoded = codec.decode(coded.base, settle(codec.chunks(coded, cfg)), cfg, 600, 400)
+    same = metrics.squared_error(metrics.paired(coded.output, decoded), ["frame_idx", "plane"])
+    return same.select("frame_idx", "plane", "max_diff", F.col("n").alias("samples"))
+
+
 @query(f"WITH {EV}, b AS (SELECT frame_idx, plane, y, x, CASE WHEN (frame_idx + y + x) % 97 = 0 THEN v + 1 ELSE v END AS w FROM ev) SELECT ev.frame_idx, max(abs(v - w)) AS max_diff, count(*) AS samples FROM ev JOIN b ON ev.frame_idx = b.frame_idx AND ev.y = b.y AND ev.x = b.x GROUP BY 1")
 def verify_streams(spark: SparkSession, d: str) -> DataFrame:
     """Two streams zipped by frame and place: the largest difference of each frame."""

@@ -18,13 +18,14 @@ def _long(*names: str):
 
 
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event values as 16x16 frames of depth 10; an incomplete last frame is left out."""
-    events = table(spark, sf_dir, "events")
-    whole = events.count() // 256 * 256  # from parquet footers
+    """Event values as 16x16 frames of depth 10; the last frame is filled up with zeros."""
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    last = events.agg(F.max("event_id")).first()[0]
+    if last is not None:
+        events = events.union(spark.range(last + 1, (last // 256 + 1) * 256).select(F.col("id").alias("event_id"), F.lit(0.0).alias("value")))
     e = F.col("event_id")
-    rows = events.where(e < whole).select(
-        F.call_function("div", e, F.lit(256)).alias("frame_idx"), F.lit(0).alias("plane"), F.call_function("div", e % 256, F.lit(16)).alias("y"), (e % 16).alias("x"), clamp(F.floor("value"), 0, 1023).alias("v")
-    )
+    v = clamp(F.floor(F.coalesce("value", F.lit(0.0))), 0, 1023)
+    rows = events.select(F.call_function("div", e, F.lit(256)).alias("frame_idx"), F.lit(0).alias("plane"), F.call_function("div", e % 256, F.lit(16)).alias("y"), (e % 16).alias("x"), v.alias("v"))
     return rows.select(*_long("frame_idx", "plane", "y", "x", "v"))
 
 
@@ -37,10 +38,10 @@ def embedding_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def count_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items by supplier and part modulo 64 as one 64x64 frame of depth 8."""
+    """Line items by supplier and part modulo 64, counted modulo 256, as one 64x64 frame of depth 8."""
     found = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 64).alias("y"), (F.col("l_partkey") % 64).alias("x")).agg(F.count("*").alias("n"))
     places = spark.range(64 * 64).select(F.shiftright("id", 6).alias("y"), (F.col("id") % 64).alias("x"))
-    rows = places.join(found, ["y", "x"], "left").select(F.lit(0).alias("frame_idx"), F.lit(0).alias("plane"), "y", "x", F.least(F.coalesce("n", F.lit(0)), F.lit(255)).alias("v"))
+    rows = places.join(found, ["y", "x"], "left").select(F.lit(0).alias("frame_idx"), F.lit(0).alias("plane"), "y", "x", (F.coalesce("n", F.lit(0)) % 256).alias("v"))
     return rows.select(*_long("frame_idx", "plane", "y", "x", "v"))
 
 
@@ -66,3 +67,11 @@ def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r in row], pa.int64()), pa.array(byte.astype(np.int64)), pa.array(counts)], names=["doc_id", "byte", "n"])
 
     return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id bigint, byte bigint, n bigint")
+
+
+def event_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event frames as three planes of a 4:2:0 picture: the values, and two half-size planes of every second one."""
+    luma = event_frames(spark, sf_dir)
+    half = luma.where("y % 2 = 0 and x % 2 = 0")
+    small = lambda p, v: half.select("frame_idx", F.lit(p).cast("bigint").alias("plane"), F.shiftright("y", 1).alias("y"), F.shiftright("x", 1).alias("x"), v.alias("v"))
+    return luma.union(small(1, F.col("v") % 512)).union(small(2, 1023 - F.col("v")))

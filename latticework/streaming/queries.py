@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,17 @@ from . import stateful
 
 
 def _drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All rows a stream gives until its input is used up."""
-    name = f"drain_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """All rows a stream gives until its input is used up, written as files and read back."""
+    spark = stream.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    path = f"{shared or tempfile.mkdtemp(prefix='lattice-stream-')}/{uuid.uuid4().hex}"
+    out, kept = f"{path}/rows", {"append": "append", "complete": "overwrite"}[mode]
+    spark.createDataFrame([], stream.schema).write.parquet(out)
+    sink = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(lambda df, _: df.write.mode(kept).parquet(out))
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -41,6 +48,23 @@ def stream_temporal_sums(spark: SparkSession, d: str) -> DataFrame:
     return _drain(stateful.temporal_sums(rows, "user_id", "frame", "intra", "r"))
 
 
+@query(ORACLES["poc_reorder"])
+def stream_poc_reorder(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures in one stream, units in another: groups of eight events are written backwards."""
+    events = _events(spark, d)
+    eight = F.call_function("div", F.col("event_id"), F.lit(8))
+    from pyspark.sql import Window
+
+    # Places come from the batch table, as a stream cannot number its rows.
+    w = Window.partitionBy("user_id")
+    batch = spark.read.parquet(f"{d}/events.parquet")
+    places = batch.select("event_id", (F.row_number().over(w.orderBy("event_id")) - 1).cast("long").alias("poc"), (F.row_number().over(w.orderBy(eight, F.desc("event_id"))) - 1).cast("long").alias("decode_idx"))
+    rows = events.join(places, "event_id").select("user_id", "poc", "decode_idx", F.length("props").cast("long").alias("size"))
+    none = F.lit(None).cast("long")
+    both = rows.select("user_id", F.explode(F.array(F.struct(F.col("decode_idx"), "poc", none.alias("size")), F.struct(none.alias("decode_idx"), "poc", "size"))).alias("r"))
+    return _drain(stateful.reorder(both.select("user_id", "r.*"), "user_id", "decode_idx", "poc", "size"))
+
+
 @query("SELECT event_id // 10 AS gop, count(*) AS rows, sum(length(props))::BIGINT AS total FROM events GROUP BY 1")
 def stream_gop_totals(spark: SparkSession, d: str) -> DataFrame:
     rows = _events(spark, d).select(F.col("event_id").alias("frame"), F.length("props").cast("bigint").alias("size"))

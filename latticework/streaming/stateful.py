@@ -8,6 +8,8 @@ than a frame behind them.
 
 from __future__ import annotations
 
+import heapq
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -49,13 +51,36 @@ def rate_control(stream: DataFrame, key: str, order: str, complexity: str, targe
 
 
 def reorder(stream: DataFrame, key: str, decode: str, poc: str, size: str) -> DataFrame:
-    """Frames in decode order beside their display place, and bytes written so far."""
+    """Enhancement units written in decode order: (key, decode, poc, size, written).
 
-    def step(now, row):
-        total = now[0] + int(getattr(row, size))
-        return (total,), [(int(getattr(row, decode)), int(getattr(row, poc)), total)]
+    Rows are pictures (``decode`` and ``poc``, ``size`` null) or units (``poc`` and
+    ``size``, ``decode`` null), in any order and in any batch.  The state holds
+    the units whose picture, and the pictures whose unit, has not come; a picture
+    is put out once all before it are.
+    """
+    kind = stream.schema[key].dataType.simpleString()
 
-    return _stateful(stream, key, decode, step, f"{decode} long, {poc} long, written long", "written long", (0,))
+    def run(keys: tuple[Any, ...], batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        text, nxt, total = held.get if held.exists else ("[[], []]", 0, 0)
+        waiting, units = json.loads(text)
+        units = dict(units)
+        for rows in batches:
+            for d, p, s in zip(rows[decode], rows[poc], rows[size]):
+                if pd.isna(s):
+                    waiting.append((int(d), int(p)))
+                else:
+                    units[int(p)] = int(s)
+        heapq.heapify(waiting := [tuple(x) for x in waiting])
+        out = []
+        while waiting and waiting[0][0] == nxt and waiting[0][1] in units:
+            d, p = heapq.heappop(waiting)
+            total, nxt = total + units[p], nxt + 1
+            out.append((keys[0], d, p, units.pop(p), total))
+        held.update((json.dumps([waiting, list(units.items())]), nxt, total))
+        yield pd.DataFrame(out, columns=[key, decode, poc, size, "written"])
+
+    names = f"{key} {kind}, {decode} long, {poc} long, {size} long, written long"
+    return stream.select(key, decode, poc, size).groupBy(key).applyInPandasWithState(run, names, "held string, next long, written long", "append", GroupStateTimeout.NoTimeout)
 
 
 def temporal_sums(stream: DataFrame, key: str, frame: str, intra: str, value: str) -> DataFrame:

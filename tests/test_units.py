@@ -177,3 +177,45 @@ def test_container_holds_its_samples():
 
 def test_group_lengths():
     assert [gop_length(s, r) for s, r in ((1, 25), (0.3, 25), (0, 25), (1, 29.97))] == [25, 8, 1, 30]
+
+
+#: Bytes of chunks worked out by hand from the format: table headers, then codes.
+def bits(text):
+    text = text.replace(" ", "")
+    return int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+
+
+def test_known_chunks():
+    none, one = "11111 11111", lambda b: f"00000 00000 {b:08b}"
+    # one level of 1: its only symbol is (1 + 32) * 2 and takes no bits
+    assert prefix.coefficient_chunk([(1, 0)]) == bits(one(66) + none + none)
+    # 1 with 3 zeros behind it: the high bit says that a run follows
+    assert prefix.coefficient_chunk([(1, 3)]) == bits(one(66 | 128) + none + one(3))
+    # 100 and 300 zeros: two level bytes, two run bytes with codes 0 and 1 (longest length, smallest symbol first)
+    wide = 100 + 8192
+    table = "00001 00001 0 00010" + f"{44:08b}" + f"{130:08b}"
+    assert prefix.coefficient_chunk([(100, 300)]) == bits(one(wide % 128 * 2 + 1) + one(wide // 128 | 128) + table + "1 0")
+    assert prefix.coefficient_chunk([(1, 3), (-2, 0)], raw=True) == bytes([66 | 128, 3, 60])
+    # sizes 5 and 300: three symbols of two contexts
+    assert prefix.size_chunk([5]) == bits(one(10) + none)
+    assert prefix.size_chunk([300]) == bits(one(300 % 128 * 2 + 1) + one(2))
+    assert prefix.size_chunk([-1], signed=True) == bits(one(254) + none)
+    assert prefix.size_chunk([-70], signed=True) == bits(one(-70 % 128 * 2 + 1) + one(127 | 128))
+    # one run of 3 blocks with signal 1, then one of 200 with signal 0
+    runs = "00001 00001 0 00010" + f"{72:08b}" + f"{129:08b}"
+    assert prefix.signal_chunk([(1, 3), (0, 200)]) == bits(runs + one(3) + "00000001" + "1 0")
+
+
+def test_known_configuration():
+    cfg = StreamConfig(1920, 1080, 8, 10, "420", 4, "linear", scaling_low="0d", scaling_top="2d", average=True, temporal=True)
+    # planes, resolution 26, block | chroma, depths, flags | temporal, upsampler, filter, scalings, tiles | colour types
+    assert cfg.global_bits() == bits("1 011010 1  01 00 01 0 1  0 1 001 0 00  10 00 00 0 0  0001 0000")
+    assert cfg.sequence_bits() == bits("0000 0011 00 0 00000")
+    plane = PictureConfig(1000, 300, True, ((1, 2, 3, 4), (5, 6, 7, 8)))
+    assert plane.bits() == bits("0 101 0 0 1 1" + f"{300:015b} 0 {1000:015b} 0" + "".join(f"{k:08b}" for k in range(1, 9)))
+
+
+def test_rates_by_size():
+    from latticework.operators.control import total_rate
+
+    assert [total_rate(*s) for s in ((3840, 2160), (1920, 1080), (640, 360), (15360, 8640))] == [7000, 1750, 800, 30000]
