@@ -133,6 +133,7 @@ def _mover(seed: int, level: int):
         left = _flight(pi, size, random.Random(f"{seed}/{level}/{key[0]}/{key[1]}"))
         if rows["buckets"].iloc[0] == 1:
             _land(pi, size, left)
+        pi = [float(round(p)) if p < EPS or p > 1 - EPS else p for p in pi]
         return rows.assign(pi=pi)[["g", "row", "doc_id", "size", "n", "pi"]]
 
     return move
