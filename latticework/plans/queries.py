@@ -438,25 +438,39 @@ def keep_tu(spark, d):
     return made.select(*bl.TU, before.alias("before"), after.alias("after")).withColumn("keep", F.col("after") < F.col("before"))
 
 
-@query(f"WITH {_RESIDUAL} SELECT frame_idx, plane, sum((abs(v) > 1400)::BIGINT)::BIGINT AS above, count(*) AS n, sum((abs(v) > 1400)::BIGINT) * 10 > count(*) * 6 AS skip FROM res WHERE x % 2 = 0 AND y % 2 = 0 GROUP BY 1, 2")
-def sampled_skip(spark, d):
-    some = _residual(spark, d).where("x % 2 = 0 and y % 2 = 0").groupBy(*bl.FRAME).agg(F.sum((F.abs(F.col("v")) > 1400).cast("bigint")).alias("above"), F.count("*").alias("n"))
-    return some.withColumn("skip", F.col("above") * 10 > F.col("n") * 6)
+_SAME_BLOCK = "c.frame_idx = t.frame_idx AND c.plane = t.plane AND c.tu_y = t.tu_y AND c.tu_x = t.tu_x"
+#: Whole frames coded over the linear prediction: blocks that are dead or not improved are zero.
+CODED = f"""{_BACK4}, least AS (SELECT min(step_width // 2 + step_offset) AS t FROM dq WHERE signal = 0),
+held AS (SELECT t.frame_idx, t.plane, t.tu_y, t.tu_x, max(abs(t.r)) >= any_value(least.t) AND sum((t.r - c.c) * (t.r - c.c)) < sum(t.r * t.r) AS keep FROM tus t JOIN rec c ON {_SAME_BLOCK} AND c.layer = t.k, least GROUP BY 1, 2, 3, 4),
+pic AS (SELECT t.frame_idx, t.plane, t.tu_y * 4 + ((t.k >> 1) & 1) + 2 * ((t.k >> 3) & 1) AS y, t.tu_x * 4 + (t.k & 1) + 2 * ((t.k >> 2) & 1) AS x, CASE WHEN h.keep THEN c.c ELSE 0 END AS made
+ FROM tus t JOIN rec c ON {_SAME_BLOCK} AND c.layer = t.k JOIN held h ON h.frame_idx = t.frame_idx AND h.plane = t.plane AND h.tu_y = t.tu_y AND h.tu_x = t.tu_x),
+dec AS (SELECT u.frame_idx, u.plane, u.y, u.x, e.v AS s, {outer(c16('(u.v + p.made)'), 8)} AS v, {outer('u.v', 8)} AS alone FROM up_src u JOIN pic p ON p.frame_idx = u.frame_idx AND p.plane = u.plane AND p.y = u.y AND p.x = u.x JOIN emb e ON e.frame_idx = u.frame_idx AND e.y = u.y AND e.x = u.x)"""
 
 
-@query(f"WITH {_RDOQ} SELECT frame_idx, plane, bool_or(q <> 0) AS any_level FROM chosen WHERE tu_x % 2 = 0 AND tu_y % 2 = 0 GROUP BY 1, 2")
-def sampled_blocks_skip(spark, d):
-    some = _chosen(spark, d).where("tu_x % 2 = 0 and tu_y % 2 = 0")
-    return some.groupBy(*bl.FRAME).agg(F.max(F.col("q") != 0).alias("any_level"))
+@query(f"""WITH {CODED}, far AS (SELECT frame_idx, sum((abs(v) > 2 * {_Q_STEP})::BIGINT) * 10 > count(*) * 6 AS coarse FROM res WHERE x % 2 = 0 AND y % 2 = 0 GROUP BY 1),
+sampled AS (SELECT t.frame_idx, max(CASE WHEN h.keep THEN abs(t.q) ELSE 0 END) > 0 AS kept FROM chosen t JOIN held h ON h.frame_idx = t.frame_idx AND h.plane = t.plane AND h.tu_y = t.tu_y AND h.tu_x = t.tu_x WHERE t.tu_x % 2 = 0 AND t.tu_y % 2 = 0 GROUP BY 1)
+SELECT f.frame_idx, f.coarse OR NOT s.kept AS dropped FROM far f JOIN sampled s ON s.frame_idx = f.frame_idx""")
+def early_drop(spark, d):
+    """Frames that every second sample or block says are not worth coding."""
+    from .codec import early_drops
+    from .config import StreamConfig
 
+    cfg = StreamConfig(8, 8, chroma="mono", block=4, scaling_low="0d", average=False)
+    return early_drops(st.to_rows(_residual(spark, d)), cfg, _Q_STEP, _TABLE, stride=2, block_stride=2)
 
-@query(f"""WITH {_RESIDUAL}, coded AS (SELECT frame_idx, plane, y, x, (v // 512) * 512 AS c FROM res)
-SELECT r.frame_idx, r.plane, sum(r.v * r.v)::BIGINT AS base_sse, sum((r.v - c.c) * (r.v - c.c))::BIGINT AS coded_sse, sum((r.v - c.c) * (r.v - c.c)) >= sum(r.v * r.v) AS dropped
-FROM res r JOIN coded c ON c.frame_idx = r.frame_idx AND c.plane = r.plane AND c.y = r.y AND c.x = r.x GROUP BY 1, 2""")
+
+@query(f"""WITH {CODED}, e AS (SELECT frame_idx, sum((s - alone) * (s - alone))::BIGINT AS base_only_sse, sum((s - v) * (s - v))::BIGINT AS coded FROM dec GROUP BY 1)
+SELECT frame_idx, base_only_sse, least(coded, base_only_sse) AS sse, coded >= base_only_sse AS dropped FROM e""")
 def frame_drop(spark, d):
-    rows = _residual(spark, d).withColumn("c", F.call_function("div", F.col("v"), F.lit(512)) * 512)
-    out = rows.groupBy(*bl.FRAME).agg(F.sum(F.col("v") * F.col("v")).alias("base_sse"), F.sum((F.col("v") - F.col("c")) * (F.col("v") - F.col("c"))).alias("coded_sse"))
-    return out.withColumn("dropped", F.col("coded_sse") >= F.col("base_sse"))
+    """Frames, each a stream of its own, that the closed loop gives up because coding them gains nothing."""
+    from . import closed_loop
+    from .config import StreamConfig
+
+    cfg = StreamConfig(8, 8, chroma="mono", block=4, scaling_low="0d", average=False)
+    pictures = embedding_frames(spark, d).groupBy("frame_idx").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("s"))
+    pictures = pictures.select(F.col("frame_idx").alias("stream"), F.lit(0).cast("bigint").alias("frame_idx"), F.transform("s", lambda s: s["v"].cast("int")).alias("data"))
+    coded = closed_loop.code_streams(pictures, "stream", cfg, closed_loop.Control(step_low=_Q_STEP, step_top=_Q_STEP, adapt=False))
+    return coded.select(F.col("stream").alias("frame_idx"), "base_only_sse", "sse", "dropped")
 
 
 # Runs and symbols -------------------------------------------------------------------

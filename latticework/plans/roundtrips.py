@@ -16,8 +16,8 @@ from ..operators.base import UniformBase
 from ..session import settle, table
 from ..sources.adapters import embedding_frames, event_frames, event_planes, text_bytes, user_values
 from . import closed_loop, codec
-from .config import StreamConfig, read_global
-from .queries import EV, query
+from .config import CHROMA, SCALING, TILES, UPSAMPLER, StreamConfig, read_global
+from .queries import _Q_STEP, _RUNS, CODED, EV, query
 
 CODEC = StreamConfig(8, 8, chroma="mono", block=2, scaling_low="0d", scaling_top="2d", average=False)
 STEPS = (300, 500)
@@ -42,86 +42,112 @@ def canonical_codes(spark: SparkSession, d: str) -> DataFrame:
 
 def _each(df: DataFrame, key: str, value: str, work, names: list[str]) -> DataFrame:
     """Rows (key, *names) of longs that ``work`` makes of each row's ``value``."""
+    return _rows(df, key, value, lambda v: [work(v)], names)
+
+
+def _rows(df: DataFrame, key: str, value: str, work, names: list[str]) -> DataFrame:
+    """The same, of any number of rows for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [work(v) for v in batch.column(value).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(key), *[pa.array([int(o[k]) for o in out], pa.int64()) for k in range(len(names))]], names=[key, *names])
+            made = [work(v) for v in batch.column(value).to_pylist()]
+            keys = batch.column(key).take(pa.array([i for i, m in enumerate(made) for _ in m], pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, *[pa.array([int(o[k]) for m in made for o in m], pa.int64()) for k in range(len(names))]], names=[key, *names])
 
     return df.select(key, value).mapInArrow(run, f"{key} long, " + ", ".join(f"{n} long" for n in names))
 
 
-@query()
+@query(f"WITH {_RUNS} SELECT user_id, event, value, zero_run FROM evs")
 def chunk_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Coefficient chunks of each user's events: sizes coded and raw, and whether both read back."""
+    """Events of each user as their coefficient chunk gives them back; raw chunks must say the same."""
+    events = runs.coefficient_runs(user_values(spark, d), ["user_id"], "i", "v")
+    packed = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event", "value", "zero_run"))).alias("events"))
+
+    def work(rows):
+        given, total = [(r["value"], r["zero_run"]) for r in rows], sum(r["zero_run"] + 1 for r in rows)
+        back = prefix.read_coefficients(prefix.coefficient_chunk(given), total)
+        if prefix.read_coefficients(prefix.coefficient_chunk(given, raw=True), total, raw=True) != back:
+            raise ValueError("raw and coded chunks differ")
+        return [(r["event"], *e) for r, e in zip(rows, back, strict=True)]
+
+    return _rows(packed, "user_id", "events", work, ["event", "value", "zero_run"])
+
+
+@query(f"""WITH {_RUNS}, b AS (SELECT user_id, 1 + (value < -32 OR value >= 32)::BIGINT + (zero_run > 0)::BIGINT + (zero_run >= 128)::BIGINT + (zero_run >= 16384)::BIGINT AS n FROM evs)
+SELECT user_id, sum(n)::BIGINT AS raw_bytes, true AS shorter FROM b GROUP BY 1""")
+def chunk_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of each user's uncoded chunk; a coded one is at most that and its three tables."""
     events = runs.coefficient_runs(user_values(spark, d), ["user_id"], "i", "v")
     packed = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event", "value", "zero_run"))).alias("events"))
 
     def work(rows):
         given = [(r["value"], r["zero_run"]) for r in rows]
-        total = sum(z + 1 for _, z in given)
-        coded, raw = prefix.coefficient_chunk(given), prefix.coefficient_chunk(given, raw=True)
-        same = prefix.read_coefficients(coded, total) == given and prefix.read_coefficients(raw, total, raw=True) == given
-        return len(given), len(coded), len(raw), same
+        raw, coded = (len(prefix.coefficient_chunk(given, raw=x)) for x in (True, False))
+        return raw, coded <= raw + 3 * (3 + 256 * 2)
 
-    return _each(packed, "user_id", "events", work, ["events", "coded_bytes", "raw_bytes", "same"])
+    return _each(packed, "user_id", "events", work, ["raw_bytes", "shorter"]).withColumn("shorter", F.col("shorter") == 1)
 
 
-@query()
+@query("""WITH s AS (SELECT l_orderkey, l_partkey % 8192 AS size, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) - 1 AS i FROM lineitem)
+SELECT l_orderkey, i, size, size - coalesce(lag(size) OVER (PARTITION BY l_orderkey ORDER BY i), 0) AS delta FROM s""")
 def sizes_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Size chunks, plain and as differences, of the items of each order."""
+    """Sizes of the items of each order and their differences, read back from size chunks."""
     rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("sizes"))
 
     def work(sizes):
         sizes = [s % 8192 for s in sizes]
         deltas = [b - a for a, b in zip([0, *sizes], sizes)]
         plain, signed = prefix.size_chunk(sizes), prefix.size_chunk(deltas, signed=True)
-        same = prefix.read_sizes(plain, len(sizes))[0] == sizes and prefix.read_sizes(signed, len(sizes), signed=True)[0] == deltas
-        return len(sizes), len(plain), len(signed), same
+        return list(zip(range(len(sizes)), prefix.read_sizes(plain, len(sizes))[0], prefix.read_sizes(signed, len(sizes), signed=True)[0], strict=True))
 
-    return _each(rows, "l_orderkey", "sizes", work, ["sizes", "plain_bytes", "signed_bytes", "same"])
+    return _rows(rows, "l_orderkey", "sizes", work, ["i", "size", "delta"])
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, event_id, (value > 50)::BIGINT AS signal FROM events), t AS (SELECT *, coalesce((signal <> lag(signal) OVER w)::BIGINT, 0) AS turn FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT *, sum(turn) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS run FROM t) SELECT user_id, run, signal, count(*) AS count FROM r GROUP BY 1, 2, 3""")
 def signals_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Temporal chunks of each user's signal runs."""
+    """Runs of each user's signals, read back from temporal chunks."""
     events = table(spark, d, "events").select("user_id", F.col("event_id").alias("i"), (F.col("value") > 50).cast("bigint").alias("signal"))
     found = runs.signal_runs(events, ["user_id"], "i", "signal").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("run", "signal", "count"))).alias("runs"))
 
     def work(rows):
         given = [(r["signal"], r["count"]) for r in rows]
-        data = prefix.signal_chunk(given)
-        return len(given), len(data), prefix.read_signals(data, sum(n for _, n in given)) == given
+        return [(k, *r) for k, r in enumerate(prefix.read_signals(prefix.signal_chunk(given), sum(n for _, n in given)))]
 
-    return _each(found, "user_id", "runs", work, ["runs", "bytes", "same"])
+    return _rows(found, "user_id", "runs", work, ["run", "signal", "count"])
 
 
-@query()
+@query("SELECT doc_id, octet_length(encode(text)) AS bytes, 1::BIGINT AS same, 1::BIGINT AS one_start FROM documents WHERE text IS NOT NULL")
 def nal_escape_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Units around payloads full of zeros: escaped size, and whether they read back without a false start code."""
-    rows = table(spark, d, "documents").select("doc_id", F.encode(F.translate("text", "aeioun ", "\0\0\0\1\2\3\0"), "UTF-8").alias("data"))
+    """Units around payloads full of zeros: whether they read back, without a false start code."""
+    rows = table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    low = bytes.maketrans(b"aeioun ", b"\0\0\0\1\2\3\0")
 
     def work(data):
+        data = data.translate(low)
         blocks = [(framing.PICTURE, data[:4]), (framing.DATA, data)]
         made = framing.unit(len(data) % 2 == 0, blocks)
-        return len(data), len(made), framing.read_unit(made) == (len(data) % 2 == 0, blocks), len(framing.split_units(made)) == 1
+        return len(data), framing.read_unit(made) == (len(data) % 2 == 0, blocks), len(framing.split_units(made)) == 1
 
-    return _each(rows.where("data is not null"), "doc_id", "data", work, ["bytes", "unit_bytes", "same", "one_start"])
+    return _each(rows.where("data is not null"), "doc_id", "data", work, ["bytes", "same", "one_start"])
 
 
-@query()
+@query("""SELECT k AS id, CASE WHEN f = 1 THEN 1920 ELSE 64 * (1 + k % 9) END AS width, CASE WHEN f = 1 THEN 1080 ELSE 32 END AS height, CASE (k // 120) % 2 WHEN 0 THEN 2 ELSE 4 END AS block, (k // 6) % 4 AS chroma, (k // 24) % 5 AS upsampler,
+ 2 - (k // 720) AS scaling_low, 2 - (k // 240) % 3 AS scaling_top, CASE k % 3 WHEN 2 THEN 3 ELSE k % 3 END AS tiles, CASE WHEN f = 1 THEN 10 ELSE 8 END AS depth, 1 - f AS temporal, CASE WHEN f = 1 THEN 48 ELSE 20 END AS modifier, CASE WHEN f = 1 THEN 64 ELSE 40 END AS multiplier, 1::BIGINT AS same
+ FROM (SELECT k, (k // 3) % 2 AS f FROM range(2160) t(k))""")
 def config_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Every combination of stream options, written and read back."""
+    """Every combination of stream options as read back from its bits."""
     options = list(product(("2d", "1d", "0d"), ("2d", "1d", "0d"), (2, 4), ("nearest", "linear", "cubic", "modified_cubic", "adaptive"), ("mono", "420", "422", "444"), (False, True), ("none", "512x256", "custom")))
     rows = spark.range(len(options)).withColumn("k", F.col("id"))
 
     def work(k):
         low, top, block, up, chroma, flag, tiles = options[k]
         cfg = StreamConfig(1920 if flag else 64 * (1 + k % 9), 1080 if flag else 32, 8, 10 if flag else 8, chroma, block, up, (-5, 14000, 2500, -7) if up == "adaptive" else (0, 16384, 0, 0), low, top, tiles, (64, 32) if tiles == "custom" else (0, 0), flag and tiles != "none", k % 3 if tiles != "none" else 0, flag, not flag, 48 if flag else 20, 64 if flag else 40, (3, 9) if flag else None)
-        data = cfg.global_bits()
-        return len(data), read_global(data, cfg.sequence_bits()) == cfg
+        back = read_global(cfg.global_bits(), cfg.sequence_bits())
+        codes = CHROMA[back.chroma], UPSAMPLER[back.upsampler], SCALING[back.scaling_low], SCALING[back.scaling_top], TILES[back.tiles]
+        return back.width, back.height, back.block, *codes, back.depth, back.temporal, back.modifier, back.multiplier, back == cfg
 
-    return _each(rows, "id", "k", work, ["bytes", "same"])
+    return _each(rows, "id", "k", work, ["width", "height", "block", "chroma", "upsampler", "scaling_low", "scaling_top", "tiles", "depth", "temporal", "modifier", "multiplier", "same"])
 
 
 @query()
@@ -141,6 +167,28 @@ def encode_decode_exact(spark: SparkSession, d: str) -> DataFrame:
     return quality.join(same, "frame_idx").join(size, "frame_idx", "left").select("frame_idx", "sse", "n", F.round(metrics.psnr(255), 6).alias("psnr"), "max_diff", F.coalesce("chunk_bytes", F.lit(0).cast("bigint")).alias("chunk_bytes"))
 
 
+@query(f"WITH {CODED} SELECT frame_idx, sum((s - v) * (s - v))::BIGINT AS sse, count(*) AS n, 0::BIGINT AS max_diff FROM dec GROUP BY 1")
+def coded_distortion(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings coded in 4x4 blocks, chunked and decoded: the decoder's error against the source, and against the coder."""
+    cfg = StreamConfig(8, 8, chroma="mono", block=4, scaling_low="0d", average=False)
+    source = embedding_frames(spark, d)
+    coded = codec.encode(source, cfg, _Q_STEP, _Q_STEP, settle=settle)
+    decoded = settle(codec.decode(coded.base, settle(codec.chunks(coded, cfg)), cfg, _Q_STEP, _Q_STEP))
+    quality = metrics.squared_error(metrics.paired(source, decoded), ["frame_idx"]).select("frame_idx", "sse", "n")
+    return quality.join(metrics.squared_error(metrics.paired(coded.output, decoded), ["frame_idx"]).select("frame_idx", "max_diff"), "frame_idx")
+
+
+@query("""WITH h AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, count(DISTINCT b) AS symbols, count(*)::BIGINT AS bytes, 1.0::DOUBLE AS kraft, true AS ordered FROM h GROUP BY 1""")
+def code_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document's prefix code: symbols, bytes, the Kraft sum (1), and whether rarer bytes never have shorter codes."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("doc_id").orderBy("n")
+    codes = canonical_codes(spark, d).withColumn("floor", F.min("length").over(w.rangeBetween(Window.unboundedPreceding, -1)))
+    return codes.groupBy("doc_id").agg(F.count("*").alias("symbols"), F.sum("n").alias("bytes"), F.sum(F.pow(F.lit(2.0), -F.col("length"))).alias("kraft"), F.min(F.col("length") <= F.coalesce("floor", F.col("length"))).alias("ordered"))
+
+
 @query()
 def encode_decode_4x4(spark: SparkSession, d: str) -> DataFrame:
     """16x16 event frames with 4x4 blocks and both levels scaled."""
