@@ -53,3 +53,11 @@ def watched(frames: DataFrame, name: str = "coding") -> tuple[DataFrame, Observa
     """Coded frames (bytes, sse, dropped) that report totals while some action runs over them."""
     seen = Observation(name)
     return frames.observe(seen, F.count("*").alias("frames"), F.sum("bytes").alias("bytes"), F.sum("sse").alias("sse"), F.sum(F.col("dropped").cast("bigint")).alias("dropped")), seen
+
+
+def row_error(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """(by, sse, n, max_diff) of two signals at row grain (frame_idx, plane, y, vals): one key a row moves."""
+    keys = ["frame_idx", "plane", "y"]
+    apart = a.join(b.withColumnRenamed("vals", "_other"), keys).select(*keys, F.zip_with("vals", "_other", lambda p, q: F.abs(p - q)).alias("d"))
+    square = F.aggregate("d", F.lit(0).cast("bigint"), lambda s, x: s + x * x)
+    return apart.groupBy(*by).agg(F.sum(square).alias("sse"), F.sum(F.size("d")).cast("bigint").alias("n"), F.max(F.array_max("d")).alias("max_diff"))

@@ -31,12 +31,16 @@ CHUNK = ["frame_idx", "plane", "level", "layer"]
 
 @dataclass
 class Coded:
-    """What coding a stream gives: base rows, levels of both levels, and the decoder's picture (samples)."""
+    """What coding a stream gives: base rows, levels of both levels, and the decoder's picture as rows or samples."""
 
     base: DataFrame
     low: DataFrame
     top: DataFrame
-    output: DataFrame
+    rows: DataFrame
+
+    @property
+    def output(self) -> DataFrame:
+        return to_samples(self.rows)
 
 
 def kernel(cfg: StreamConfig) -> tuple[int, ...]:
@@ -159,7 +163,7 @@ def encode(frames: DataFrame, cfg: StreamConfig, step_low: int, step_top: int, r
 
 def _picture(prediction: DataFrame, blocks: DataFrame, cfg: StreamConfig) -> DataFrame:
     out = rg.add(prediction, rg.scatter(blocks, cfg.block, "i"))
-    return to_samples(rg.map_rows(out, lambda v: to_sample(v, cfg.depth)))
+    return rg.map_rows(out, lambda v: to_sample(v, cfg.depth))
 
 
 def _across(cfg: StreamConfig, level: int, total: bool = False) -> Column:
@@ -220,12 +224,13 @@ def _dense(levels: DataFrame, rows: DataFrame, cfg: StreamConfig) -> DataFrame:
     return held.select(*TU, *[F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in names("q", cfg.block)])
 
 
-def decode(base: DataFrame, stream: DataFrame, cfg: StreamConfig, step_low: int, step_top: int) -> DataFrame:
-    """Samples of the decoded picture from base rows and chunks."""
+def decode(base: DataFrame, stream: DataFrame, cfg: StreamConfig, step_low: int, step_top: int, rows: bool = False) -> DataFrame:
+    """Samples of the decoded picture (or its ``rows``) from base rows and chunks."""
     table = tables(cfg, step_low, step_top)
     size, k = cfg.block, kernel(cfg)
     guess = rg.upscale(_internal(base, cfg.depth), cfg.scaling_low, k, cfg.average)
     low = reconstruct(_dense(levels_of(stream, cfg, 1), guess, cfg), size, cfg.scaling_low == "1d", table[1], cfg.filter_levels)
     wide = rg.upscale(rg.add(guess, rg.scatter(low, size, "i")), cfg.scaling_top, k, cfg.average)
     top = reconstruct(_dense(levels_of(stream, cfg, 0), wide, cfg), size, cfg.scaling_top == "1d", table[0])
-    return _picture(wide, top, cfg)
+    out = _picture(wide, top, cfg)
+    return out if rows else to_samples(out)

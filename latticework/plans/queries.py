@@ -16,9 +16,10 @@ from ..functions import quantizers as qz
 from ..functions.transforms import DENOMINATOR, columns, inverse, names
 from ..operators import blocks as bl
 from ..operators import control, metrics, runs
+from ..operators import rows as rg
 from ..operators import stencil as st
 from ..session import share_code, table
-from ..sources.adapters import count_grid, embedding_frames, event_frames, text_bytes, user_values
+from ..sources.adapters import count_grid, embedding_frames, embedding_rows, event_frames, text_bytes, user_values
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -235,8 +236,15 @@ def _prediction(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return full.withColumn("v", fp.to_internal("v", 8)), st.upscale(one, "2d", st.KERNELS["linear"])
 
 
+def _residual_rows(spark: SparkSession, d: str) -> DataFrame:
+    full = embedding_rows(spark, d)
+    inside = lambda rows: rg.map_rows(rows, lambda v: fp.to_internal(v, 8))
+    return rg.residual(inside(full), rg.upscale(inside(rg.downscale(full, "2d", 8)), "2d", st.KERNELS["linear"], False))
+
+
 def _residual(spark: SparkSession, d: str) -> DataFrame:
-    return st.residual(*_prediction(spark, d))
+    """The residual of all queries below, made a row at a time."""
+    return st.to_samples(_residual_rows(spark, d))
 
 
 @query(f"WITH {_RESIDUAL} SELECT {ALL} FROM res")
@@ -256,16 +264,16 @@ _KEY = "frame_idx, plane, tu_y, tu_x"
 
 
 def _gather_query(size: int) -> Query:
-    return lambda spark, d: bl.long_form(bl.gather(_residual(spark, d), size), "r", size, "r")
+    return lambda spark, d: bl.long_form(rg.gather(_residual_rows(spark, d), size), "r", size, "r")
 
 
 def _transform_query(size: int, line: bool) -> Query:
-    return lambda spark, d: bl.long_form(bl.transform(bl.gather(_residual(spark, d), size), size, line), "c", size, "c")
+    return lambda spark, d: bl.long_form(bl.transform(rg.gather(_residual_rows(spark, d), size), size, line), "c", size, "c")
 
 
 def _inverse_query(size: int, line: bool) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        made = bl.gather(_residual(spark, d), size)
+        made = rg.gather(_residual_rows(spark, d), size)
         back = [c.alias(n) for c, n in zip(inverse(columns("r", size), size, line), names("i", size))]
         return bl.long_form(made.select(*bl.TU, *back), "i", size, "c")
 
@@ -355,7 +363,7 @@ def _coefficients(spark: SparkSession, d: str) -> DataFrame:
     Sixteen layers as columns would make one method too long to compile; as
     rows they share one short expression.
     """
-    rows = bl.long_form(bl.transform(bl.gather(_residual(spark, d), 4), 4), "c", 4, "c")
+    rows = bl.long_form(bl.transform(rg.gather(_residual_rows(spark, d), 4), 4), "c", 4, "c")
     step, _, zone = qz.of_layer(_TABLE, "layer")
     return rows.withColumn("q", qz.quantize("c", 16, step, zone))
 
@@ -389,12 +397,12 @@ def rdoq_exact(spark, d):
 
 @query(f"WITH {_RESIDUAL}, tus AS ({tu('res', 4)}) SELECT {_KEY}, k AS layer, CASE WHEN k IN (0, 5, 10, 15) THEN (r * 12) >> 4 WHEN k IN (1, 4, 7, 13, 2, 8, 11, 14) THEN (r * 14) >> 4 ELSE r END AS v FROM tus")
 def l1_filter(spark, d):
-    return bl.long_form(bl.soften(bl.gather(_residual(spark, d), 4), 4, 2), "f", 4, "v")
+    return bl.long_form(bl.soften(rg.gather(_residual_rows(spark, d), 4), 4, 2), "f", 4, "v")
 
 
 @query(f"WITH {_RESIDUAL}, tus AS ({tu('res', 4)}), co AS ({multiply('tus', 'r', 4, False, False, False)}) SELECT frame_idx, plane, layer, sum(c * c)::BIGINT AS square_sum, sum(c * c)::BIGINT / 256.0::DOUBLE AS energy FROM co GROUP BY 1, 2, 3")
 def layer_energy(spark, d):
-    made = bl.long_form(bl.transform(bl.gather(_residual(spark, d), 4), 4), "c", 4, "c")
+    made = bl.long_form(bl.transform(rg.gather(_residual_rows(spark, d), 4), 4), "c", 4, "c")
     return metrics.layer_energy(made, 16)
 
 
@@ -405,7 +413,7 @@ _MATRIX_SQL = ", ".join(f"({k}, {m})" for k, m in enumerate(_MATRIX))
 g AS (SELECT frame_idx, plane, greatest(exp(avg(ln(e))), 1e-9) AS gm FROM e GROUP BY 1, 2)
 SELECT e.frame_idx, e.plane, e.layer, {lim('round(m.matrix * pow(e.e / g.gm, 0.3))', 1, 255)}::BIGINT AS adapted FROM e JOIN g ON g.frame_idx = e.frame_idx AND g.plane = e.plane JOIN (VALUES {_MATRIX_SQL}) m(layer, matrix) ON m.layer = e.layer""")
 def adaptive_matrix(spark, d):
-    made = bl.long_form(bl.transform(bl.gather(_residual(spark, d), 4), 4), "c", 4, "c")
+    made = bl.long_form(bl.transform(rg.gather(_residual_rows(spark, d), 4), 4), "c", 4, "c")
     default = F.element_at(F.array(*[F.lit(m) for m in _MATRIX]), (F.col("layer") + 1).cast("int"))
     rows = metrics.layer_energy(made, 16).withColumn("matrix", default)
     return qz.adapted_matrix(rows, bl.FRAME, 0.3).select(*bl.FRAME, "layer", "adapted")
@@ -417,7 +425,7 @@ def adaptive_matrix(spark, d):
 @query(f"WITH {_LAYERS}, m AS (SELECT min(step_width // 2 + step_offset) AS t FROM dq WHERE signal = 0) SELECT {_KEY}, max(abs(r)) AS largest FROM tus, m GROUP BY {_KEY}, t HAVING max(abs(r)) >= t")
 def zero_tu_filter(spark, d):
     threshold = min(w // 2 + f for w, f, _ in _TABLE)
-    made = bl.gather(_residual(spark, d), 4)
+    made = rg.gather(_residual_rows(spark, d), 4)
     return made.select(*bl.TU, F.greatest(*[F.abs(F.col(n)) for n in names("r", 4)]).alias("largest")).where(F.col("largest") >= threshold)
 
 
@@ -429,7 +437,7 @@ FROM tus t JOIN rec c ON c.frame_idx = t.frame_idx AND c.plane = t.plane AND c.t
 def keep_tu(spark, d):
     from .codec import code_blocks
 
-    blocks = bl.gather(_residual(spark, d), 4)
+    blocks = rg.gather(_residual_rows(spark, d), 4)
     made = blocks.join(code_blocks(blocks, 4, False, _TABLE, improve=False), bl.TU)
     pairs = F.array(*[F.struct(F.col(f"r{k}").alias("r"), F.col(f"i{k}").alias("i")) for k in range(16)])
     zero = F.lit(0).cast("bigint")
@@ -456,7 +464,7 @@ def early_drop(spark, d):
     from .config import StreamConfig
 
     cfg = StreamConfig(8, 8, chroma="mono", block=4, scaling_low="0d", average=False)
-    return early_drops(st.to_rows(_residual(spark, d)), cfg, _Q_STEP, _TABLE, stride=2, block_stride=2)
+    return early_drops(_residual_rows(spark, d), cfg, _Q_STEP, _TABLE, stride=2, block_stride=2)
 
 
 @query(f"""WITH {CODED}, e AS (SELECT frame_idx, sum((s - alone) * (s - alone))::BIGINT AS base_only_sse, sum((s - v) * (s - v))::BIGINT AS coded FROM dec GROUP BY 1)

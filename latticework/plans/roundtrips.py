@@ -14,7 +14,7 @@ from ..functions.payload import NO_CHUNK, Chunk, read_plain, write_plain
 from ..operators import metrics, runs
 from ..operators.base import UniformBase
 from ..session import settle, table
-from ..sources.adapters import embedding_frames, event_frames, event_planes, text_bytes, user_values
+from ..sources.adapters import embedding_rows, event_frames, event_planes, text_bytes, user_values
 from . import closed_loop, codec
 from .config import CHROMA, SCALING, TILES, UPSAMPLER, StreamConfig, read_global
 from .queries import _Q_STEP, _RUNS, CODED, EV, query
@@ -157,12 +157,12 @@ def encode_decode_exact(spark: SparkSession, d: str) -> DataFrame:
     (frame_idx, sse, n, psnr, max_diff, chunk_bytes): distortion against the
     source, the decoder's largest difference from the encoder (0), coded size.
     """
-    source = embedding_frames(spark, d)
+    source = embedding_rows(spark, d)
     coded = codec.encode(source, CODEC, *STEPS, settle=settle)
     stream = settle(codec.chunks(coded, CODEC))
-    decoded = codec.decode(coded.base, stream, CODEC, *STEPS)
-    quality = metrics.squared_error(metrics.paired(source, coded.output), ["frame_idx"]).select("frame_idx", "sse", "n")
-    same = metrics.squared_error(metrics.paired(coded.output, decoded), ["frame_idx"]).select("frame_idx", "max_diff")
+    decoded = codec.decode(coded.base, stream, CODEC, *STEPS, rows=True)
+    quality = metrics.row_error(source, coded.rows, ["frame_idx"]).select("frame_idx", "sse", "n")
+    same = metrics.row_error(coded.rows, decoded, ["frame_idx"]).select("frame_idx", "max_diff")
     size = stream.groupBy("frame_idx").agg(F.sum(F.length("data")).cast("bigint").alias("chunk_bytes"))
     return quality.join(same, "frame_idx").join(size, "frame_idx", "left").select("frame_idx", "sse", "n", F.round(metrics.psnr(255), 6).alias("psnr"), "max_diff", F.coalesce("chunk_bytes", F.lit(0).cast("bigint")).alias("chunk_bytes"))
 
@@ -171,11 +171,11 @@ def encode_decode_exact(spark: SparkSession, d: str) -> DataFrame:
 def coded_distortion(spark: SparkSession, d: str) -> DataFrame:
     """Embeddings coded in 4x4 blocks, chunked and decoded: the decoder's error against the source, and against the coder."""
     cfg = StreamConfig(8, 8, chroma="mono", block=4, scaling_low="0d", average=False)
-    source = embedding_frames(spark, d)
+    source = embedding_rows(spark, d)
     coded = codec.encode(source, cfg, _Q_STEP, _Q_STEP, settle=settle)
-    decoded = settle(codec.decode(coded.base, settle(codec.chunks(coded, cfg)), cfg, _Q_STEP, _Q_STEP))
-    quality = metrics.squared_error(metrics.paired(source, decoded), ["frame_idx"]).select("frame_idx", "sse", "n")
-    return quality.join(metrics.squared_error(metrics.paired(coded.output, decoded), ["frame_idx"]).select("frame_idx", "max_diff"), "frame_idx")
+    decoded = settle(codec.decode(coded.base, settle(codec.chunks(coded, cfg)), cfg, _Q_STEP, _Q_STEP, rows=True))
+    quality = metrics.row_error(source, decoded, ["frame_idx"]).select("frame_idx", "sse", "n")
+    return quality.join(metrics.row_error(coded.rows, decoded, ["frame_idx"]).select("frame_idx", "max_diff"), "frame_idx")
 
 
 @query("""WITH h AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents WHERE text IS NOT NULL)
@@ -238,13 +238,13 @@ def closed_loop_decoded(spark: SparkSession, d: str) -> DataFrame:
     return both.select("stream", "frame_idx", apart.cast("bigint").alias("max_diff"), F.size("data").cast("bigint").alias("samples"))
 
 
-@query(f"WITH {EV} SELECT frame_idx, p::BIGINT AS plane, 0::BIGINT AS max_diff, (CASE WHEN p = 0 THEN count(*) ELSE count(*) // 4 END)::BIGINT AS samples FROM ev, range(3) t(p) GROUP BY 1, 2")
+@query(f"WITH {EV} SELECT frame_idx, p::BIGINT AS plane, 0::BIGINT AS max_diff, (count(*) // CASE WHEN p = 0 THEN 1 ELSE 4 END)::BIGINT AS samples FROM ev, range(3) t(p) GROUP BY frame_idx, p")
 def encode_decode_420(spark: SparkSession, d: str) -> DataFrame:
     """All planes of 4:2:0 pictures coded in one plan with their own steps, and decoded: no sample differs."""
     cfg = StreamConfig(16, 16, base_depth=10, depth=10, block=4, scaling_low="0d", multiplier=40, upsampler="cubic", filter_levels=(2, 1))
     coded = codec.encode(event_planes(spark, d), cfg, 600, 400, settle=settle, lambda_div=4)
-    decoded = codec.decode(coded.base, settle(codec.chunks(coded, cfg)), cfg, 600, 400)
-    same = metrics.squared_error(metrics.paired(coded.output, decoded), ["frame_idx", "plane"])
+    decoded = codec.decode(coded.base, settle(codec.chunks(coded, cfg)), cfg, 600, 400, rows=True)
+    same = metrics.row_error(coded.rows, decoded, ["frame_idx", "plane"])
     return same.select("frame_idx", "plane", "max_diff", F.col("n").alias("samples"))
 
 
@@ -259,7 +259,7 @@ def verify_streams(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def payload_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Pictures of coded frames: flags and chunks framed as units, read back, chunks compared."""
-    source = embedding_frames(spark, d)
+    source = embedding_rows(spark, d)
     stream = codec.chunks(codec.encode(source, CODEC, *STEPS, settle=settle), CODEC)
     packed = stream.groupBy("frame_idx").agg(F.collect_list(F.struct("plane", "level", "layer", "data")).alias("chunks"))
 

@@ -37,6 +37,14 @@ def embedding_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*_long("frame_idx", "plane", "y", "x", "v"))
 
 
+def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames as rows that are arrays: (frame_idx, plane, y, vals), cut from the vectors without an exchange."""
+    v = F.transform("embedding", lambda e: clamp(F.floor(e.cast("double") * 256) + 128, 0, 255).cast("bigint"))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.slice("v", y * 8 + 1, F.lit(8)))
+    cut = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_idx"), v.alias("v")).select("frame_idx", F.posexplode(rows).alias("y", "vals"))
+    return cut.select("frame_idx", F.lit(0).cast("bigint").alias("plane"), F.col("y").cast("bigint").alias("y"), "vals")
+
+
 def count_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items by supplier and part modulo 64, counted modulo 256, as one 64x64 frame of depth 8."""
     found = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 64).alias("y"), (F.col("l_partkey") % 64).alias("x")).agg(F.count("*").alias("n"))
