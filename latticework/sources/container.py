@@ -1,7 +1,8 @@
 """A two-track MP4 file: base and enhancement samples in turns.
 
 Places in the file are running sums over rows, worked out by Spark; the boxes
-are metadata of a few bytes a sample and are put together on the driver.
+are metadata of a few bytes a sample and are put together on the driver, from
+sizes alone.  Media bytes go to the file row by row and are never held together.
 """
 
 from __future__ import annotations
@@ -79,26 +80,45 @@ def colour_codes(primaries: str, transfer: str, matrix: str, full_range: bool =
     return PRIMARIES.get(primaries, 2), TRANSFERS.get(transfer, 2), MATRICES.get(matrix, 2), full_range
 
 
-def mux(base: Sequence[bytes], enhancement: Sequence[bytes], size: tuple[int, int], fps: tuple[int, int], pocs: Sequence[int] | None = None, colour: tuple[int, int, int, bool] | None = None) -> bytes:
-    """The file of as many pairs as both have samples."""
+def header(base: Sequence[int], enhancement: Sequence[int], size: tuple[int, int], fps: tuple[int, int], pocs: Sequence[int] | None = None, colour: tuple[int, int, int, bool] | None = None) -> bytes:
+    """All of the file before its media, for samples of these sizes in turns."""
     n = min(len(base), len(enhancement))
     delta = TIMESCALE * fps[1] // fps[0]
     shifts = [max(-(2**31), min(2**31 - 1, (p - i) * delta)) for i, p in enumerate(pocs)] if pocs is not None and len(pocs) == n else None
     begin = box("ftyp", b"isom", _u32(512), b"isomiso2mp41")
-    data = b"".join(x for pair in zip(base[:n], enhancement[:n]) for x in pair)
+    total = sum(base[:n]) + sum(enhancement[:n])
+    wide = total + 8 >= 1 << 32
 
     def movie(at: int) -> bytes:
         starts, places = at, ([], [])
         for pair in zip(base[:n], enhancement[:n]):
-            for k, x in enumerate(pair):
+            for k, length in enumerate(pair):
                 places[k].append(starts)
-                starts += len(x)
+                starts += length
         head = full("mvhd", _u32(0, 0, TIMESCALE, n * delta, 0x10000), struct.pack(">H", 0x100), b"\0" * 10, MATRIX, b"\0" * 24, _u32(3))
-        tracks = [_track(k + 1, kind, size, [len(x) for x in part[:n]], places[k], delta, shifts, colour) for k, (kind, part) in enumerate((("vvc1", base), ("lvc1", enhancement)))]
+        tracks = [_track(k + 1, kind, size, list(part[:n]), places[k], delta, shifts, colour) for k, (kind, part) in enumerate((("vvc1", base), ("lvc1", enhancement)))]
         return box("moov", head, *tracks)
 
-    at = len(begin) + len(movie(0)) + 8
-    return begin + movie(at) + box("mdat", data)
+    media = struct.pack(">I4sQ", 1, b"mdat", total + 16) if wide else struct.pack(">I4s", total + 8, b"mdat")
+    at, before = len(begin) + len(movie(0)) + len(media), -1
+    while at != before:  # places beyond 4 GB take wider tables, which move the places
+        before, at = at, len(begin) + len(movie(at)) + len(media)
+    return begin + movie(at) + media
+
+
+def mux(base: Sequence[bytes], enhancement: Sequence[bytes], size: tuple[int, int], fps: tuple[int, int], pocs: Sequence[int] | None = None, colour: tuple[int, int, int, bool] | None = None) -> bytes:
+    """The file of as many pairs as both have samples."""
+    head = header([len(x) for x in base], [len(x) for x in enhancement], size, fps, pocs, colour)
+    return head + b"".join(x for pair in zip(base, enhancement) for x in pair)
+
+
+def write_mp4(samples: DataFrame, path: str, size: tuple[int, int], fps: tuple[int, int], colour: tuple[int, int, int, bool] | None = None) -> int:
+    """One file of (i, poc, base, enhancement) rows in order of ``i``; the driver holds sizes, and a partition of media at a time."""
+    from .video import write_ordered
+
+    sizes = sorted(samples.select("i", "poc", F.octet_length("base").alias("b"), F.octet_length("enhancement").alias("e")).collect())
+    head = header([r.b for r in sizes], [r.e for r in sizes], size, fps, [r.poc for r in sizes], colour)
+    return write_ordered(samples.select("i", F.concat("base", "enhancement").alias("data")), "i", path, head)
 
 
 def boxes(data: bytes, at: int = 0, end: int | None = None) -> list[tuple[str, int, int]]:

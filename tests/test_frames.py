@@ -290,3 +290,28 @@ def test_units_wait_for_their_pictures(spark, tmp_path):
     q.awaitTermination()
     assert {(r.s, r.decode_idx): (r.poc, r["size"], r.written) for r in out} == want
     assert all([r.decode_idx for r in out if r.s == s] == list(range(12)) for s in ("a", "b"))
+
+
+def test_file_to_file(spark, tmp_path):
+    """A raw video coded into units, base and a two-track file, and decoded from the first two."""
+    import numpy as np
+
+    from latticework.operators.base import UniformBase
+    from latticework.plans import closed_loop, files
+    from latticework.sources import container
+
+    rng, frames, size = np.random.default_rng(6), 7, 64 * 32 * 3 // 2
+    still = rng.integers(0, 200, size)
+    raw = b"".join((still + rng.integers(0, 12, size)).astype("u1").tobytes() for _ in range(frames))
+    path = {k: str(tmp_path / k) for k in ("in.yuv", "out.lvc", "base.yuv", "coder.yuv", "out.mp4", "decoded.yuv")}
+    (tmp_path / "in.yuv").write_bytes(raw)
+    cfg = StreamConfig(64, 32, block=2, scaling_low="0d", temporal=True)
+    rows = files.encode_file(spark, path["in.yuv"], path["out.lvc"], cfg, closed_loop.Control(refresh_every=3), UniformBase(8), path["base.yuv"], path["coder.yuv"], path["out.mp4"], width=64, height=32, format="420").collect()
+    assert len(rows) == frames and files.decode_file(spark, path["out.lvc"], path["base.yuv"], path["decoded.yuv"], cfg) == frames
+    made = (tmp_path / "decoded.yuv").read_bytes()
+    assert made == (tmp_path / "coder.yuv").read_bytes() and len(made) == len(raw)
+    error = int(((np.frombuffer(made, "u1").astype(int) - np.frombuffer(raw, "u1")) ** 2).sum())
+    assert error == sum(r.sse for r in rows)
+    movie = (tmp_path / "out.mp4").read_bytes()
+    media = next((s, e) for k, s, e in container.boxes(movie) if k == "mdat")
+    assert media[1] == len(movie) and movie[media[0] : media[0] + 64] == (tmp_path / "base.yuv").read_bytes()[:64]
