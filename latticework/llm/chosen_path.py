@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .lineage import dealt, fetch, pin, stable, with_totals
+from .lineage import dealt, fetch, pin, spread, stable, with_totals
 from .textscan import Words, mix, run_hash, run_sums, slices, windows
 
 SHINGLE = 5
@@ -222,13 +222,14 @@ def _links_in_crowds(nodes: DataFrame, sets: DataFrame, threshold: int) -> DataF
     sized = held.agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("most"))
     many = lambda n: F.ceil(n / BLOCK).cast("int")
     sized = sized.select(*by, F.col("most.component").alias("main"), many(F.col("n")).alias("all_parts"), many(F.col("n") - F.col("most.c")).alias("odd_parts"))
-    salted = nodes.join(sized, by)
+    key = F.struct(*by).alias("key")
+    salted = spread(nodes.select("*", key), sized.select(key, "main", "all_parts", "odd_parts"), "key", "rep")
     mine = lambda parts: F.pmod(F.xxhash64("rep", F.lit(9)), F.col(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     odd = salted.where("component <> main").select(*by, "rep", "component", "size", mine("odd_parts").alias("i"), every("all_parts").alias("j"), F.lit(True).alias("odd"))
     rest = salted.select(*by, "rep", "component", "size", every("odd_parts").alias("i"), mine("all_parts").alias("j"), F.lit(False).alias("odd"))
-    spread = odd.union(rest).join(sets.withColumnRenamed("id", "rep"), "rep")
-    return spread.groupBy(*by, "i", "j").applyInPandas(_linking(threshold), "a long, b long")
+    blocks = odd.union(rest).join(sets.withColumnRenamed("id", "rep"), "rep")
+    return blocks.groupBy(*by, "i", "j").applyInPandas(_linking(threshold), "a long, b long")
 
 
 def _alike(x: str, y: str) -> Column:
