@@ -17,6 +17,9 @@ from latticework.llm import bpe_tree, chosen_path, cube_mix, pii_crf, quality_cn
 from latticework.llm.lineage import numbered, pin, small_batches, stable, unused
 from latticework.session import share_code
 
+#: Most row numbers that are broadcast (16 MB); more are joined by a shuffle.
+FEW = 1 << 21
+
 
 def _prepare(spark: SparkSession) -> None:
     share_code(spark)
@@ -38,7 +41,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _prepare(spark)
     docs = stable(docs)
     rows, key = numbered(docs)
-    kept = chosen_path.near_duplicates(docs, extra=("row", "first")).where("first").select(F.col("row").alias(key))
+    kept = pin(chosen_path.near_duplicates(docs, extra=("row", "first")).where("first").select(F.col("row").alias(key)))
+    kept = F.broadcast(kept) if kept.count() <= FEW else kept  # so whole texts need not move
     return rows.join(kept, key, "left_semi").select(_columns(docs))
 
 
