@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import pin, stable, with_totals
+from .lineage import stable, with_totals, written
 from .textscan import Words, mix, run_hash, run_sums, slices, windows
 
 WINDOW = 20
@@ -227,7 +227,7 @@ def drop_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     docs = docs.select(ids, (F.lit(0).cast("long") if alone else F.monotonically_increasing_id()).alias("row"), "text")
     seeds = docs.mapInArrow(_seed_rows, "seed long, doc_id long, row long, span long, codes binary")
     met = seeds.repartition("seed").sortWithinPartitions("seed", "doc_id", "span")
-    judged = pin(met.mapInArrow(_repeats, ", ".join(f"{c} long" for c in JUDGED)))
+    judged = written(met.mapInArrow(_repeats, ", ".join(f"{c} long" for c in JUDGED)))
     cuts, crowds = judged.where("key is null").select(*JUDGED[:3]), judged.where("key is not null")
     if not crowds.isEmpty():
         crowds = with_totals(crowds, ["key", "code"], "doc_id", [F.min(F.struct("doc_id", "start")).alias("earliest")])
