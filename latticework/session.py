@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+#: Spark's switch for dropping a query's shuffle files once it has run (from 4.1; older ones ignore it).
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def share_code(spark: SparkSession) -> None:
@@ -37,6 +39,11 @@ def settle(df: DataFrame) -> DataFrame:
     The size that Catalyst guessed for ``df`` is forgotten: a guess for a join is
     the product of its sides', and carried from one kept result into the next
     it grows to numbers of millions of digits.
+
+    The shuffle files behind the rows go at once.  Else they stay until the
+    driver happens to collect its garbage, and a plan of many small steps holds
+    all of its steps' files on disk.  Only those of this one run go: ``df`` and
+    what is built on it keep theirs.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -45,6 +52,11 @@ def settle(df: DataFrame) -> DataFrame:
         if folder is None and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lattice-checkpoint-"))
-    kept = df.checkpoint(eager=True)._jdf
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        kept = df.select("*").checkpoint(eager=True)._jdf  # a query of its own, which nobody runs again
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     rows = kept.queryExecution().analyzed().rdd()
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept.schema(), False), spark)
