@@ -68,7 +68,7 @@ def seven_bit_groups(v: ColumnLike) -> Column:
     v = col(v)
     digits = F.when(v > 0, F.ceil(F.length(F.bin(v)) / 7)).otherwise(1).cast("int")
     down = F.sequence(digits - 1, F.lit(0))
-    return F.transform(down, lambda g: F.pmod(F.floor(v / F.pow(F.lit(128.0), g)), F.lit(128)).cast("bigint") + F.when(g > 0, 128).otherwise(0))
+    return F.transform(down, lambda g: F.call_function("shiftright", v.cast("bigint"), g * 7).bitwiseAND(127) + F.when(g > 0, 128).otherwise(0))
 
 
 def value_symbols(v: ColumnLike) -> Column:

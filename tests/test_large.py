@@ -1,5 +1,6 @@
-"""Values that only larger tables have: sums beyond 16 bits in a first frame."""
+"""Values that only larger tables have: sums beyond 16 bits in a first frame, products beyond 35 and 53 bits."""
 
+from latticework.functions.fixedpoint import seven_bit_groups
 from latticework.operators import control
 from latticework.plans.queries import ORACLES, QUERIES
 
@@ -23,3 +24,13 @@ def test_first_frame_of_a_buffer(spark):
     made = lambda **how: [(r.buffer, r.clamped) for r in control.temporal_buffer(df, ["p"], "f", "intra", "v", **how).orderBy("f").collect()]
     assert made() == [(32767, True), (27767, False), (32767, True), (32767, True)]
     assert made(open_first=True) == [(40000, False), (32767, True), (32767, True), (32767, True)]
+
+
+def test_groups_of_large_values_are_whole(spark):
+    values = [(1 << 35) - 1, 1 << 35, 36_000_000 * 900_000, (1 << 53) + 1, (1 << 60) + 129, (1 << 63) - 1]
+    df = spark.createDataFrame([(v,) for v in values], "v long").select("v", seven_bit_groups("v").alias("g"))
+    for r in df.collect():
+        got = 0
+        for b in r.g:
+            got = got << 7 | b & 127
+        assert got == r.v and [b >> 7 for b in r.g] == [1] * (len(r.g) - 1) + [0] and len(r.g) == -(-r.v.bit_length() // 7)
